@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows are handed to Python in batches of so many bytes, so that long texts don't add up.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH[0]) != _BATCH[1]:
+        spark.conf.set(*_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
