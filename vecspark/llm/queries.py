@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import chat_format, decontaminate, fingerprint, minhash, packing, secret_scan
+from vecspark.llm import chat_format, decontaminate, fingerprint, language_id, minhash, packing, secret_scan, toxicity
 from vecspark.llm.common import table
 
 
+def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -24,6 +28,10 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"))
 
 
+def op7_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.to_turns(table(spark, sf_dir, "conversations"))
     said = F.lit("\\### Assistant: </turn> ok")
@@ -93,9 +101,11 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_toxicity": op1_subword_toxicity,
     "op3_hierarchical_packing": op3_hierarchical_packing,
     "op4_secret_linking": op4_secret_linking,
     "op5_bbit_minhash": op5_bbit_minhash,
+    "op7_bigru_language": op7_bigru_language,
     "op8_chat_format": op8_chat_format,
     "op9_prefix_fingerprints": op9_prefix_fingerprints,
     "op10_benchmark_overlap": op10_benchmark_overlap,
