@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import chat_format, decontaminate, fingerprint, language_id, minhash, packing, secret_scan, toxicity
+from vecspark.llm import chat_format, decontaminate, fingerprint, language_id, lattice_lm, minhash, packing, secret_scan, toxicity
 from vecspark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"))
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hierarchical_packing": op3_hierarchical_packing,
     "op4_secret_linking": op4_secret_linking,
     "op5_bbit_minhash": op5_bbit_minhash,
+    "op6_lattice_likelihood": op6_lattice_likelihood,
     "op7_bigru_language": op7_bigru_language,
     "op8_chat_format": op8_chat_format,
     "op9_prefix_fingerprints": op9_prefix_fingerprints,
