@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import chat_format, decontaminate, fingerprint, language_id, lattice_lm, minhash, packing, secret_scan, toxicity
+from vecspark.llm import chat_format, decontaminate, fingerprint, language_id, lattice_lm, line_dedup, minhash, packing, secret_scan, toxicity
 from vecspark.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate(docs).select("doc_id", "n_lines", "dropped_lines", "text")
+
+
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -106,6 +111,7 @@ FROM e GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_toxicity": op1_subword_toxicity,
+    "op2_simhash_lines": op2_simhash_lines,
     "op3_hierarchical_packing": op3_hierarchical_packing,
     "op4_secret_linking": op4_secret_linking,
     "op5_bbit_minhash": op5_bbit_minhash,
