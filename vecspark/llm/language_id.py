@@ -17,9 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.llm.common import crc_mod, held_out
 from vecspark.llm.sampling import labelled_sample
@@ -209,25 +210,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, params: Par
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", params: Params | None = None, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score; ``keep`` names further columns to carry."""
+    """One row per document: id, held_out, lang_pred, score. With ``keep``: those columns of the
+    input as they are, then __lang_pred and __score."""
     p = params or Params()
-    net, names = fit(docs, id_col, text_col, label_col, p)
-    model = docs.sparkSession.sparkContext.broadcast((net, names))  # its size depends on the parameters only
-    carried = [F.col(c).alias(f"c_{i}") for i, c in enumerate(keep or [])]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col, 3, 1).alias("held_out"), *carried)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, label_col, p))  # its size depends on the parameters only
+    carried = [F.col(id_col).alias("c0"), held_out(id_col, 3, 1).alias("c1")] if keep is None else [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    source = docs.select(*carried, F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, names = model.value
-        for pdf in batches:
-            probs = pooled(net, list(pdf["text"]), p)
-            known = ~np.isnan(probs[:, 0]) if names else np.zeros(len(pdf), bool)
-            best = np.where(known, np.nan_to_num(probs).argmax(axis=1), 0)
+        for batch in batches:
+            probs = np.nan_to_num(pooled(net, batch.column("text").to_pylist(), p), nan=-1.0)
+            known = probs[:, 0] >= 0 if names else np.zeros(batch.num_rows, bool)
+            best = probs.argmax(axis=1)
             pred = [names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-            score = np.where(known, np.clip(np.nan_to_num(probs)[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pdf.assign(lang_pred=pred, score=score)[[*(c for c in pdf.columns if c != "text" or keep), "lang_pred", "score"]]
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text" or keep]
-    out = source.mapInPandas(run, ", ".join([*fields, "lang_pred string", "score double"]))
-    if keep:
-        return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias("__lang_pred"), F.col("score").alias("__score"))
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
+            score = np.where(known, np.clip(probs[np.arange(len(best)), best], 0, 1), 0.0)
+            columns = [c for c, f in zip(batch.columns, batch.schema.names, strict=True) if f != "text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=out_names)
+
+    kept = [f for f in source.schema.fields if f.name != "text"]
+    out_names = [*(f.name for f in kept), "pred", "score"]
+    out = source.mapInArrow(run, T.StructType([*kept, T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    names = [id_col, "held_out", "lang_pred", "score"] if keep is None else [*keep, "__lang_pred", "__score"]
+    return out.toDF(*names)
