@@ -87,11 +87,18 @@ def seed_centroids(sample: np.ndarray, k: int, metric: int, seed: int) -> np.nda
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
     least = table(x[chosen], x, DistanceMetric.L2)[0]
+    tries = 2 + int(np.log(k))
     while len(chosen) < k:
         total = least.sum()
-        pick = int(np.searchsorted(np.cumsum(least), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(x)))
-        chosen.append(min(pick, len(x) - 1))
-        least = np.minimum(least, table(x[chosen[-1:]], x, DistanceMetric.L2)[0])
+        if total <= 0:  # fewer different rows than seeds
+            chosen.append(int(rng.integers(len(x))))
+            continue
+        # Of a few draws the one that leaves the smallest sum of squared distances.
+        picks = np.minimum(np.searchsorted(np.cumsum(least), rng.random(tries) * total, side="right"), len(x) - 1)
+        after = np.minimum(least, table(x[picks], x, DistanceMetric.L2))
+        best = int(after.sum(axis=1).argmin())
+        chosen.append(int(picks[best]))
+        least = after[best]
     return np.asarray(sample, float)[chosen]
 
 
