@@ -207,16 +207,21 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_simhash_equals_a_plain_count(spark):
-    lines = ["a b c d e", "one one two three four five", "x " * 3000 + "y"]
-    rows = spark.createDataFrame([(x.strip(),) for x in lines], "t string").withColumn("w", F.split("t", " "))
-    for r in rows.select(line_dedup.simhash(F.col("w")).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect():
-        want = sum(1 << i for i in range(63) if 2 * sum((h >> i) & 1 for h in r.h) > len(r.h))
-        assert r.s == want
+    lines = ["a bb ccc dddd eeeee", "one one two three fourteen fifteenhundred", "x " * 3000 + "y"]
+    rows = spark.createDataFrame([(i, x.strip()) for i, x in enumerate(lines)], "k int, norm string")
+    words = {r.k: (r.w, r.h) for r in rows.select("k", F.split("norm", " ").alias("w"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    got = line_dedup.votes(rows, ["k"]).collect()
+    assert len(got) == 3
+    for r in got:
+        w, h = words[r.k]
+        weight = [min(max(len(x) - 2, 1), line_dedup.MOST) for x in w]
+        assert r.sim == sum(1 << i for i in range(63) if 2 * sum(c for c, x in zip(weight, h, strict=True) if (x >> i) & 1) > sum(weight))
+    long = spark.createDataFrame([(0, "word " * 20_000 + "end")], "k int, norm string")
+    assert sorted(r.chunk for r in line_dedup.votes(long, ["k"]).collect()) == [0, 1, 2]
 
 
 def test_pigeonhole_finds_all_close_values_under_any_scheme(spark):
     rng = random.Random(7)
-    p = line_dedup.Params()
     pairs = []
     for _ in range(60):
         a = rng.getrandbits(63)
@@ -225,8 +230,8 @@ def test_pigeonhole_finds_all_close_values_under_any_scheme(spark):
             b ^= 1 << i
         pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a long, b long")
-    for n in (1_000, 10**8, 10**11):
-        share = df.select(F.arrays_overlap(line_dedup.block_keys(F.col("a"), n, p), line_dedup.block_keys(F.col("b"), n, p)).alias("o"))
+    for scheme in line_dedup.schemes(line_dedup.Params()):
+        share = df.select(F.arrays_overlap(line_dedup.block_keys(F.col("a"), scheme), line_dedup.block_keys(F.col("b"), scheme)).alias("o"))
         assert share.where("NOT o").count() == 0
 
 
