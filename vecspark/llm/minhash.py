@@ -9,14 +9,17 @@ sets.
 All pairs of a bucket are never made. First each bucket's members are paired with its smallest
 member only. The components of the confirmed links then leave few buckets with several components,
 and only there pairs across components are made, once for all buckets that a pair shares, and only
-those that sizes and estimate allow. Links inside a component can't change the result.
+those that sizes and estimate allow. Links inside a component can't change the result. Shingles
+that no other text in those buckets has can't be shared; a text with many of them is far from all
+others, so most loners of a large group drop out before any of their pairs is made.
 
 With 24 bands of 4 minima a pair at similarity 0.8 shares no band once in 300,000 times, and one at
 0.85 once in 20 million times; the estimate's margin loses about as few.
 
 Defined cases: NULL and empty texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole word sequence as one shingle; rows that repeat a text are one
-class; a NULL id never names a component unless all rows of a class have none; an empty table gives
+class; where rows share an id but not their words, one set of them, the same on every run, takes
+part in links and the others are linked with nothing; a NULL id never names a component unless all rows of a class have none; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -46,7 +49,7 @@ class Params:
     bands: int = 24
     rows: int = 4
     bits: int = 4
-    signature: int = 256
+    signature: int = 512
     #: Standard deviations that an estimate may lie below the threshold.
     margin: float = 4.5
     seed: int = 20_240_601
@@ -174,12 +177,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, params
         for pdf in batches:
             sets = [h.shingles(t) for t in pdf["text"]]
             same = np.array([xxhash.xxh3_128_hexdigest(s.tobytes()) == c for s, c in zip(sets, pdf["cls"], strict=True)], bool)
-            out = pd.DataFrame({"rep": pdf["rep"], "set": pd.Series([s.tobytes() for s in sets], dtype=object)})
+            out = pd.DataFrame({"rep": pdf["rep"], "set": pd.Series([s.view(np.int64) for s in sets], dtype=object)})
             yield out[same]
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = source.join(wanted, F.col("id") == F.col("rep")).select("rep", "cls", "text")
-    return rows.mapInPandas(run, "rep long, set binary").dropDuplicates(["rep"])
+    return rows.mapInPandas(run, "rep long, set array<long>").dropDuplicates(["rep"])
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
@@ -191,8 +194,8 @@ def _confirmed(edges: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
             keep = []
             for a, x, y in zip(pdf["a"], pdf["x"], pdf["y"], strict=True):
                 if a != last:
-                    last, own = a, np.frombuffer(x, np.uint64)
-                other = np.frombuffer(y, np.uint64)
+                    last, own = a, np.asarray(x)
+                other = np.asarray(y)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(100 * both >= params.percent * (len(own) + len(other) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
@@ -213,6 +216,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     classes = sig.where("n > 0 AND id IS NOT NULL").groupBy("cls")
     reps = materialize(classes.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
+    if reps.count() != reps.select("rep").distinct().count():  # rows that share an id but not their words
+        reps = materialize(reps.groupBy("rep").agg(F.min_by(F.struct("cls", "n", "bands", "sig"), "cls").alias("r")).select("rep", "r.*"))
+
     # Buckets of several classes; rows of others end here.
     rows = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
     least = rows.groupBy("band", "hash").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -233,8 +239,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     labelled = buckets.select("band", "hash", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     open_ = labelled.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "hash")
-    member = materialize(labelled.join(open_, ["band", "hash"]).join(reps.select("rep", "n", "sig", "bands"), "rep"))
+    member = materialize(labelled.join(open_, ["band", "hash"]))
+    ids = member.select("rep").distinct()
+    grams = sets.join(ids, "rep", "left_semi").select("rep", F.explode("set").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.count("*").alias("m"), F.min("rep").alias("rep")).where("m = 1")
+    own = alone.groupBy("rep").agg(F.count("*").alias("own"))
+    fact = reps.select("rep", "n", "sig", "bands").join(ids, "rep", "left_semi").join(own, "rep", "left")
+    fact = fact.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("most") >= p.percent * F.col("n"))
+    member = materialize(member.join(fact.drop("own"), "rep"))
     x, y = member.alias("x"), member.alias("y")
+    both = F.least(F.col("x.most"), F.col("y.most"))  # of any intersection
     shared = F.array_position(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda a, b: a == b), True)
     across = x.join(
         y,
@@ -242,7 +256,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
         & (F.col("x.hash") == F.col("y.hash"))
         & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component"))
-        & _sizes_fit(F.col("x.n"), F.col("y.n"), p)
+        & (100 * both >= p.percent * (F.col("x.n") + F.col("y.n") - both))
         & (matches(F.col("x.sig"), F.col("y.sig"), p) >= p.least_matches)
         & (shared == F.col("x.band") + 1),
     ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
