@@ -13,7 +13,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows are handed to Python in batches of so many bytes, so that long texts don't add up.
-_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
