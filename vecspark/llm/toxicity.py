@@ -132,9 +132,13 @@ def train(texts: list[str | None], labels: list[int], params: Params) -> Model:
         return Model(p, np.zeros(size), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     rng = np.random.default_rng(p.seed)
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
-    found, n = subwords(list(vocabulary), p)
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int32) for t in texts]
+    known = list(vocabulary)
+    parts = [subwords(known[s : s + 20_000], p) for s in range(0, len(known), 20_000)]  # bounded tables in between
+    found = np.concatenate([x.astype(np.int32) for x, _ in parts]) if parts else np.empty(0, np.int32)
+    n = np.concatenate([x.astype(np.int32) for _, x in parts]) if parts else np.empty(0, np.int32)
     first = np.cumsum(n) - n
+    del parts, known
     table = rng.normal(0, 0.02, (size, p.dim))
     out = rng.normal(0, 1.0, (p.dim, 2))
     bias, seen = np.zeros(2), np.full(size, p.floor)
@@ -149,7 +153,7 @@ def train(texts: list[str | None], labels: list[int], params: Params) -> Model:
             at += 1
             chosen = order[s : s + p.batch]
             ids, inverse = np.unique(np.concatenate([docs[k] for k in chosen]), return_inverse=True)
-            grams = np.concatenate([found[first[w] : first[w] + n[w]] for w in ids]) if len(ids) else np.empty(0, np.int64)
+            grams = np.concatenate([found[first[w] : first[w] + n[w]] for w in ids]) if len(ids) else np.empty(0, np.int32)
             begin = np.cumsum(n[ids]) - n[ids]
             vectors = np.add.reduceat(table[grams], begin, axis=0) / n[ids][:, None] if len(ids) else np.zeros((0, p.dim))
             sums = np.zeros((len(inverse) + 1, p.dim))
