@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.model import HNSWParams
+from vecspark.model import DistanceMetric, HNSWParams
 from vecspark.operators.kernel import exact, table
 from vecspark.operators.knn import RESULT, query_blocks, top_k
 
@@ -132,7 +132,11 @@ class Graph:
         self.entry = int(np.lexsort((ids, -layers))[0]) if len(ids) else None
 
     def _far(self, q: np.ndarray, rows: list[int]) -> np.ndarray:
-        return exact(np.broadcast_to(q, (len(rows), len(q))), self.x[rows], self.metric)
+        x = self.x[rows]
+        if self.metric == DistanceMetric.L2:
+            x -= q
+            return np.sqrt(np.einsum("ij,ij->i", x, x))
+        return exact(np.broadcast_to(q, x.shape), x, self.metric)
 
     def beam(self, q: np.ndarray, start: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef nearest found from the starting rows: (distance, row), nearest first."""
