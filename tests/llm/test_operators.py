@@ -270,6 +270,20 @@ def test_fuzzy_lines_fall_together(spark):
     assert {r.doc_id for r in line_dedup.drops(same).collect()} == {3}  # one SimHash value, unlike texts
 
 
+def test_fuzzy_lines_fall_together_whatever_their_length(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(90):
+        words = [word() for _ in range((14, 60, 120)[i % 3])]
+        rows.append((i, " ".join(words)))
+        for at in rng.sample(range(len(words)), max(1, len(words) // 15)):
+            words[at] = word()
+        rows.append((100 + i, " ".join(words)))
+    gone = {r.doc_id for r in line_dedup.drops(frame(spark, rows)).collect()}
+    assert not any(i < 100 for i in gone) and len(gone) >= 81
+
+
 # Benchmark passages ---------------------------------------------------------------------------------
 
 
