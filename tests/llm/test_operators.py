@@ -284,6 +284,18 @@ def test_fuzzy_lines_fall_together_whatever_their_length(spark):
     assert not any(i < 100 for i in gone) and len(gone) >= 81
 
 
+def test_lines_of_one_value_are_connected_by_any_member(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(12):
+        r = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(50)]
+        h = r[4:25] + r[:4] + r[25:]
+        s = h[4:40] + h[:4] + h[40:]
+        rows += [(10 * i + 1000, " ".join(r)), (10 * i + 1001, " ".join(h)), (10 * i + 1002, " ".join(s))]
+    gone = {r.doc_id for r in line_dedup.drops(frame(spark, rows)).collect()}
+    assert gone == {10 * i + 1000 + j for i in range(12) for j in (1, 2)}
+
+
 # Benchmark passages ---------------------------------------------------------------------------------
 
 
