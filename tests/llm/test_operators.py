@@ -296,6 +296,20 @@ def test_lines_of_one_value_are_connected_by_any_member(spark):
     assert gone == {10 * i + 1000 + j for i in range(12) for j in (1, 2)}
 
 
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from vecspark.llm import queries
+
+    rng = random.Random(20)
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    rows = [(1, "Ietzte.\n\nfirst of its kind"), (2, "second\n\nIetzte."), (3, han), (4, han[:30] + "x" + han[31:]), (5, "---\n---")]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.dropped_lines for r in queries.op2_simhash_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [2], 3: [], 4: [0], 5: []}
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 2, 3, 5}
+
+
 # Benchmark passages ---------------------------------------------------------------------------------
 
 

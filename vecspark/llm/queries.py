@@ -17,7 +17,7 @@ def op1_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.deduplicate(docs).select("doc_id", "n_lines", "dropped_lines", "text")
+    return line_dedup.deduplicate(docs, params=line_dedup.WHOLE).select("doc_id", "n_lines", "dropped_lines", "text")
 
 
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
