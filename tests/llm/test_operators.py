@@ -310,6 +310,16 @@ def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()} == {1, 2, 3, 5}
 
 
+@pytest.mark.parametrize("size", [20, 200, 201, 5000])
+def test_weak_parts_of_any_length_are_linked_whole(size):
+    part = {"weak_id": "login: alice", "weak_secret": "aB3" * 8, "endpoint": "https://example.org"}
+    for kind, value in (("weak_id", "login: " + "n" * size), ("weak_secret", ("aB3" * size)[:size]), ("endpoint", "https://" + "h" * size)):
+        parts = {k: v for k, v in part.items() if k != kind} | {kind: value}
+        text = " ".join(parts.values())
+        found = {(k, text[s:e]) for k, s, e, _ in secret_scan.find_spans(text)}
+        assert found == set(parts.items())
+
+
 # Benchmark passages ---------------------------------------------------------------------------------
 
 

@@ -31,11 +31,11 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _WEAK_ID = re.compile(
-    r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@+-]{3,64})""",
+    r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@+-]{3,})""",
     re.ASCII,
 )
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"(?:(?:https?|ftp|jdbc:\w{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,200})|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])", re.ASCII)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"(?:(?:https?|ftp|jdbc:\w{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,})|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])", re.ASCII)
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ID_HINTS = ("user", "login", "account", "client", "key")
 
