@@ -102,6 +102,34 @@ def seed_centroids(sample: np.ndarray, k: int, metric: int, seed: int) -> np.nda
     return np.asarray(sample, float)[chosen]
 
 
+def seed_table(vectors: DataFrame, k: int, metric: int, seed: int) -> np.ndarray:
+    """k rows of (id, vector), chosen like :func:`seed_centroids` but over the whole table: a scan
+    for each seed, in which the row with the least of an exponential variable over its weight wins.
+    Variables are hashes of id and round, so partitions don't matter."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10) if metric == DistanceMetric.COSINE else x
+    rows = vectors.select("id", "vector")
+    chosen = np.empty((0, 0))
+    for i in range(k):
+        model = vectors.sparkSession.sparkContext.broadcast(chosen)
+        drawn = rows.withColumn("u", (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52))
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, u = unit(matrix(b.column("vector")).astype(float)), b.column("u").to_numpy()
+                w = table(unit(model.value), x, DistanceMetric.L2).min(axis=0) if len(model.value) else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    cost = np.where(w > 0, -np.log(u) / np.maximum(w, 1e-300), np.inf)
+                if len(cost):
+                    at = [int(np.lexsort((b.column("id").to_numpy(), u, cost))[0])]
+                    yield pa.RecordBatch.from_arrays([pa.array(cost[at]), pa.array(u[at]), b.column("id").take(pa.array(at)), b.column("vector").take(pa.array(at))], names=["cost", "u", "id", "vector"])
+
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        best = drawn.mapInArrow(run, T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("u", T.DoubleType()), T.StructField("id", kinds["id"]), T.StructField("vector", kinds["vector"])]))
+        found = best.orderBy("cost", "u", "id").first()
+        chosen = np.array([*chosen.tolist(), found.vector], float)
+    return chosen
+
+
 def movement(old: np.ndarray, new: np.ndarray, metric: int) -> float:
     """Sum of the distances that the centroids have moved."""
     return float(exact(old, new, metric).sum())

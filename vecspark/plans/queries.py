@@ -32,6 +32,8 @@ from vecspark.sources.formats import uniform_vectors
 from vecspark.streaming.ingest import event_rates
 
 DIM = 64
+#: Per cent of trained lists that a search probes.
+PROBED = 75
 L2, COSINE, DOT = DistanceMetric.L2, DistanceMetric.COSINE, DistanceMetric.DOT_PRODUCT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +65,11 @@ def asked(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.col("id") < n).select(F.col("id").alias("query_id"), "vector")
 
 
+def asked_all(rows: DataFrame) -> DataFrame:
+    """Every hundredth id, so that queries grow with the table."""
+    return rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
+
+
 def first_vector(rows: DataFrame) -> list[float]:
     return list(rows.where("id = 0").first().vector)
 
@@ -372,8 +379,12 @@ def kmeans_k_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_pp_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sorted(vectors(spark, sf_dir).where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).collect(), key=lambda r: r.id)
-    return _cells(spark, kmeans.seed_centroids(np.array([r.vector for r in rows]), 8, L2, 42))
+    return _cells(spark, kmeans.seed_table(vectors(spark, sf_dir), 8, L2, 42))
+
+
+@query()
+def kmeans_fit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, kmeans.KMeans(8, DIM).fit(vectors(spark, sf_dir)).centroids)
 
 
 @query(f"{CENTROIDS} SELECT round(sum(most) / sum(n), 6) AS purity FROM (SELECT cluster_id, max(n) AS most, sum(n) AS n FROM (SELECT cluster_id, label, count(*) AS n FROM a JOIN e USING (id) GROUP BY 1, 2) GROUP BY 1)")
@@ -452,6 +463,10 @@ SELECT id, src FROM (
   UNION ALL SELECT id, seq FROM l WHERE last <> 'error')""")
 def writelog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = vectors(spark, sf_dir).where("id < 200").select("id", F.lit(-1).cast("long").alias("src"))
+    return _replayed(spark, sf_dir, current)
+
+
+def _replayed(spark: SparkSession, sf_dir: str, current: DataFrame) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     log = events.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("insert").alias("op"), F.col("user_id").alias("id"), F.col("event_id").alias("src"))
     return writes.replay(current, log)
@@ -525,13 +540,20 @@ NEAR = f"""{NODES}, near AS (SELECT src, dst FROM (SELECT a.id AS src, b.id AS d
 sym AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near)"""
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
+def _all_nodes(rows: DataFrame) -> DataFrame:
     layer = F.when(F.col("id") % 50 == 7, 2).when(F.col("id") % 10 == 7, 1).otherwise(0)
-    return rows.where("id < 200").select(F.lit(0).alias("shard"), "id", "vector", layer.alias("max_layer"))
+    return rows.select(F.lit(0).alias("shard"), "id", "vector", layer.alias("max_layer"))
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return _all_nodes(rows.where("id < 200"))
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    nodes = _nodes(rows)
+    return _near_of(_nodes(rows))
+
+
+def _near_of(nodes: DataFrame) -> DataFrame:
     found = knn.knn_batch(nodes, nodes.select(F.col("id").alias("query_id"), "vector"), 5, L2).where("query_id <> id").drop("rank")
     return knn.top_k(found, 4).select(F.lit(0).alias("shard"), F.lit(0).alias("layer"), F.col("query_id").alias("src"), F.col("id").alias("dst"))
 
@@ -587,7 +609,7 @@ def hnsw_heuristic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     nodes, edges, _ = hnsw.build(rows, L2)
-    return rounded(hnsw.search_batch(nodes, edges, asked(rows, 100), 10, 50, L2))
+    return rounded(hnsw.search_batch(nodes, edges, asked_all(rows), 10, 50, L2))
 
 
 @query("SELECT true AS good")
@@ -595,7 +617,7 @@ def hnsw_recall_ge_90(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weaker than values: says only that our own check passed."""
     rows = vectors(spark, sf_dir)
     nodes, edges, _ = hnsw.build(rows, L2)
-    found, truth = hnsw.search_batch(nodes, edges, asked(rows, 100), 10, 50, L2), knn.knn_batch(rows, asked(rows, 100), 10, L2)
+    found, truth = hnsw.search_batch(nodes, edges, asked_all(rows), 10, 50, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
     return spark.createDataFrame([(evaluate.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9,)], "good boolean")
 
 
@@ -603,7 +625,7 @@ def hnsw_recall_ge_90(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each index finds a stored vector itself first, under each metric on unit vectors. Weaker than
     values: says only that our own check passed."""
-    rows = _records(vectors(spark, sf_dir)).where("id < 100")
+    rows = _records(vectors(spark, sf_dir))
     q = first_vector(rows)
     good = True
     for index in IndexType:
@@ -614,6 +636,96 @@ def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(bool(good),)], "parity boolean")
 
 
+# Whole tables -----------------------------------------------------------------------------------------
+# The queries above whose SQL is held to some ids, over all rows and with every hundredth id as a query.
+
+
+def sql_batch_all(metric: int, k: int, where: str = "true") -> str:
+    return f"""{S} SELECT query_id, id, round(d, 6) AS distance, rank FROM (
+SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::BIGINT AS rank
+FROM (SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", metric)} AS d FROM e, e q WHERE q.id % 100 = 0 AND {where})) WHERE rank <= {k}"""
+
+
+def _batch_all(name: str, metric: int, k: int, where: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled(vectors(spark, sf_dir))
+        return rounded(knn.knn_batch(rows, asked_all(rows), k, metric, None if where is None else F.expr(where)))
+
+    run.__name__ = name
+    query(sql_batch_all(metric, k, "true" if where is None else f"e.{where}"))(run)
+
+
+_batch_all("knn_batch_all", L2, 10)
+_batch_all("knn_batch_cosine_all", COSINE, 5)
+_batch_all("knn_batch_dot_filtered_all", DOT, 5, "label < 5")
+
+
+def _trained(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """Lists trained on all rows, about as many as the root of their number, and how many of them
+    to probe."""
+    lists, c = ivf.build(rows, max(8, int(rows.count() ** 0.5)), L2)
+    return lists, c, -(-len(c) * PROBED // 100)
+
+
+@query()
+def ivf_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    lists, c, n = _trained(rows)
+    return rounded(ivf.search_batch(lists, c, asked_all(rows), 10, n, L2))
+
+
+@query("SELECT vec_id AS id, label::VARCHAR AS metadata, 0::INT AS code FROM embeddings")
+def batch_insert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
+    code = max(c.batch_insert(rows.where("id % 2 = 0")), c.batch_insert(rows.where("id % 2 <> 0")))
+    return c.records().select("id", "metadata", F.lit(int(code)).alias("code"))
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0")
+def remove_many_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
+    c.batch_insert(rows)
+    c.remove_many(rows.where("id % 3 = 0").select("id"))
+    return c.records().select("id")
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label::VARCHAR ELSE 'new' END AS metadata FROM embeddings")
+def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
+    c.batch_insert(rows.where("id % 3 <> 1"))
+    c.upsert(rows.where("id % 3 <> 0").withColumn("metadata", F.lit("new")))
+    return c.records().select("id", "metadata")
+
+
+@query("""WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS last, max(event_id) AS seq FROM events GROUP BY 1)
+SELECT id, src FROM (
+  SELECT vec_id AS id, -1::BIGINT AS src FROM embeddings WHERE vec_id NOT IN (SELECT id FROM l)
+  UNION ALL SELECT id, seq FROM l WHERE last <> 'error')""")
+def writelog_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = vectors(spark, sf_dir).select("id", F.lit(-1).cast("long").alias("src"))
+    return _replayed(spark, sf_dir, current)
+
+
+def _graph_all(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Without SQL, which would compare all pairs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = _all_nodes(vectors(spark, sf_dir))
+        return build(nodes, _near_of(nodes))
+
+    run.__name__ = name
+    query()(run)
+
+
+_graph_all("hnsw_layer0_candidates_all", lambda nodes, near: near.select("src", "dst"))
+_graph_all("hnsw_edges_symmetric_all", lambda nodes, near: hnsw.symmetric(near).select("src", "dst"))
+_graph_all("hnsw_degree_cap_violations_all", lambda nodes, near: hnsw.over_full(hnsw.symmetric(near), 4))
+_graph_all("hnsw_remove_all", lambda nodes, near: hnsw.remove(nodes, hnsw.symmetric(near), nodes.where("id % 10 = 7").select("id"))[1].select("src", "dst"))
+_graph_all("hnsw_compact_dangling_all", lambda nodes, near: hnsw.compact(nodes.where("id % 4 <> 0"), hnsw.symmetric(near)).select("src", "dst"))
+_graph_all("hnsw_entry_reelect_all", lambda nodes, near: hnsw.entry_point(nodes.where("id NOT IN (7, 57)")))
+_graph_all("hnsw_neighbours_all", lambda nodes, near: hnsw.neighbours(hnsw.symmetric(near), 11))
+
+
 # Sources and streams ----------------------------------------------------------------------------------
 
 
