@@ -18,6 +18,10 @@ def test_queries_grow_with_the_table(spark, sf_dir, name):
     assert {r.query_id for r in core.QUERIES[name](spark, sf_dir).select("query_id").collect()} == want
 
 
+def test_trained_lists_reach_recall(spark, sf_dir):
+    assert core.QUERIES["recall_ivf_trained"](spark, sf_dir).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_seeds_are_rows_and_do_not_depend_on_partitions(spark, sf_dir):
     rows = core.vectors(spark, sf_dir)
     a, b = (core.kmeans.seed_table(r, 8, core.L2, 42) for r in (rows, rows.repartition(7)))

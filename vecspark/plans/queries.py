@@ -674,6 +674,22 @@ def ivf_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ivf.search_batch(lists, c, asked_all(rows), 10, n, L2))
 
 
+@query()
+def recall_ivf_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    lists, c, n = _trained(rows)
+    found, truth = ivf.search_batch(lists, c, asked_all(rows), 10, n, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
+    return evaluate.recall(found, truth, 10).withColumn("recall", F.round("recall", 6))
+
+
+@query()
+def rank_match_ivf_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    lists, c, n = _trained(rows)
+    found, truth = ivf.search_batch(lists, c, asked_all(rows), 10, n, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
+    return evaluate.rank_match(found, truth).withColumn("rate", F.round("rate", 6))
+
+
 @query("SELECT vec_id AS id, label::VARCHAR AS metadata, 0::INT AS code FROM embeddings")
 def batch_insert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
