@@ -40,3 +40,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert counts[1] == counts[0] - 3  # no text, an empty one, and digits only
     assert counts[2] <= counts[1] and counts[3] <= counts[2] and counts[4] <= counts[3] and counts[5] > 0
     assert docs.where("doc_id = 9004").select("doc_id").distinct().count() == 1
+
+
+def test_pipeline_decides_rows_without_ids_for_themselves(spark, tmp_path):
+    name = lambda n, k: " ".join(f"{n}word{i}" for i in range(k))
+    spark.createDataFrame([(1, name("bench", 13))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, name("a", 60)), (None, name("a", 60)), (None, name("b", 60)), (None, name("b", 59) + " c"), (None, name("bench", 13)), (None, "clean words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    texts = [r.text for r in left.collect()]
+    assert len(texts) == 4 and texts.count(name("a", 60)) == 1 and (name("b", 60) in texts) != (name("b", 59) + " c" in texts)
+    assert {r.text for r in left.where("text = 'clean words only'").collect()} == {"clean words only"}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if "bench" not in t)
