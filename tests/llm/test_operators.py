@@ -249,7 +249,7 @@ def test_line_dedup(spark):
     assert by[1].text == f"{long}\nshort line" and by[1].dropped_lines == [2]
     assert by[3].text == "\nlast words that only the third one has"
     assert by[4].text == ""
-    assert by[2].text.endswith("short line") and by[2].dropped_lines in ([], [1])
+    assert by[2].text == "intro words that only this document has" and by[2].dropped_lines == [1, 2]
     assert out.count() == len(rows) and by[1].n_lines == 3
     rest = {r.doc_id: r for r in out.where("doc_id >= 10 OR doc_id IS NULL").collect()}
     assert rest[900].text is None and rest[901].text == "" and rest[None].text == ODD[0][1]
@@ -265,7 +265,7 @@ def test_fuzzy_lines_fall_together(spark):
         words[30] += "x"
         rows.append((100 + i, " ".join(words)))
     gone = {r.doc_id for r in line_dedup.drops(frame(spark, rows)).collect()}
-    assert not any(i < 100 for i in gone) and len(gone) >= 15  # SimHash's three bits reach a part of these
+    assert gone == {100 + i for i in range(40)}
     same = spark.createDataFrame([(1, 0, "a b c d e f g h i j"), (2, 0, "j i h g f e d c b a"), (3, 0, "j i h g f e d c b a!")], "doc_id long, n int, text string")
     assert {r.doc_id for r in line_dedup.drops(same).collect()} == {3}  # one SimHash value, unlike texts
 

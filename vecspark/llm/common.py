@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more. It does so when the driver
+    collects its garbage, which a driver with little to do hardly ever does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; NULL for a NULL id."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n)).cast("int")
