@@ -6,7 +6,9 @@ longest down, and the gap that an item leaves in its window is filled with items
 the largest that fits first, then with a piece cut off the next larger one. A window is thus full
 when it is emitted and needs no padding; the few tokens left at the end of a partition are cut into
 full windows of falling size. Sequences of one tier that add up to ``step_tokens`` form a step
-group, so steps have equal numbers of tokens.
+group, so steps have equal numbers of tokens; only the last group of a tier in a partition may have
+fewer, and a partition's last rest is cut into windows shorter than the smallest tier, down to one
+token, each its own length as tier.
 
 Packing is local to a partition and streams: nothing is shuffled, gathered or counted globally, a
 hot source changes nothing, and a retried task repeats its own output. Memory holds one buffer of
@@ -25,13 +27,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.llm.tokens import byte_bpe_encoder
 
+#: Sequences that are handed on at a time.
+BATCH = 256
+
 #: An item: (tokens, arrival number, id, start in its document, ids, the document's tokens).
 Item = tuple[int, int, object, int, np.ndarray, int]
 
@@ -66,8 +72,9 @@ class Packer:
             self._pack()
 
     def _item(self, doc_id: object, start: int, ids: np.ndarray, total: int) -> Item:
+        """Has its own copy of the ids, so that a short rest doesn't hold a long document."""
         self.arrivals += 1
-        return (len(ids), self.arrivals, doc_id, start, ids, total)
+        return (len(ids), self.arrivals, doc_id, start, ids.copy(), total)
 
     def _keep(self, item: Item) -> None:
         insort(self.pool, item, key=lambda x: x[:2])
@@ -145,31 +152,43 @@ def pack(
     """One row per piece: the document's id, where the piece starts in it, its length and ids, the
     document's tokens, the sequence, the offset there, the tier and the step group."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    kind = source.schema["id"].dataType
+    fields = {"start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "doc_tokens": T.LongType(), "sequence_id": T.LongType(), "offset": T.LongType(), "tier": T.IntegerType(), "step_group": T.LongType()}
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(n, t) for n, t in fields.items())])
+    if with_ids:
+        schema.add("ids", T.ArrayType(T.IntegerType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
         packer = Packer(max_len, min_tier, step_tokens, buffer_tokens, TaskContext.get().partitionId() << 33)
+        end, id_type = np.array([end_id], dtype="<u4"), None
 
-        def rows() -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[pa.RecordBatch]:
             done = packer.take()
-            for k in range(0, len(done), 5000):
-                out = [
-                    (doc, start, n, zlib.crc32(ids.tobytes()), total, sequence, offset, tier, group, ids if with_ids else None)
-                    for sequence, tier, group, items in done[k : k + 5000]
-                    for (n, _, doc, start, ids, total), offset in zip(items, np.cumsum([0, *(x[0] for x in items)]).tolist(), strict=False)
-                ]
-                yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"])
-
-        end = np.array([end_id], dtype="<u4")
-        for pdf in batches:
-            for doc, text in zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["text"], strict=True):
-                packer.add(doc, np.concatenate([encode(text or ""), end]))
-                if len(packer.done) >= 2000:
-                    yield from rows()
+            for k in range(0, len(done), BATCH):  # at most BATCH * max_len ids
+                pieces, columns = [], [[] for _ in range(9)]
+                for sequence, tier, group, items in done[k : k + BATCH]:
+                    offset = 0
+                    for n, _, doc, start, ids, total in items:
+                        for column, value in zip(columns, (doc, start, n, zlib.crc32(ids.tobytes()), total, sequence, offset, tier, group), strict=True):
+                            column.append(value)
+                        pieces.append(ids)
+                        offset += n
+                arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int32() if name == "tier" else pa.int64()) for c, name in zip(columns[1:], fields, strict=True))]
+                if with_ids:
+                    starts = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(pieces).view("<i4"))))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        for batch in batches:
+            id_type = batch.column("id").type
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    packer.add(doc, np.concatenate([encode(text or ""), end]))
+                    if len(packer.done) >= BATCH:
+                        yield from rows()
         packer.finish()
         yield from rows()
 
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<long>"
-    out = source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
-    return out if with_ids else out.drop("ids")
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
