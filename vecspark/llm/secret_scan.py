@@ -3,7 +3,8 @@
 Single-pattern detectors find self-evident secrets. Many leaks are only recognisable as a set of
 parts: an account name, a random-looking value and the host they open. Each of those alone is
 weak, so the linker joins the three kinds of part by interval overlap inside a scope and reports
-a weak part only if the parts that complete it are there.
+a weak part only if the parts that complete it are there. Parts that complete each other don't
+overlap: what stands inside an identifier or an endpoint is no secret of its own.
 
 Everything happens inside one row, in one pass over the whole text; nothing is shuffled, so a hot
 source costs no more than any other rows.
@@ -102,6 +103,9 @@ def find_spans(text: str | None, scope_chars: int = 240) -> list[Span]:
     if not (ids or any(s[0] == "access" for s in base)) or not (secrets or any(s[0] != "access" for s in base)):
         return [(*s, None) for s in base]
     ends = [m.span() for m in _ENDPOINT.finditer(text)]
+    # One token can't be two parts: an identifier's value or a piece of an address is no secret.
+    named, addressed = _Sides(ids), _Sides(ends)
+    secrets = [x for x in secrets if named.near(*x, 0) is None and addressed.near(*x, 0) is None]
     strong_id, strong_secret = _Sides([s[1:] for s in base if s[0] == "access"]), _Sides(_disjoint([s[1:] for s in base if s[0] != "access"]))
     weak_id, weak_secret, endpoint = _Sides(ids), _Sides(secrets), _Sides(ends)
     first = lambda *xs: min((x for x in xs if x is not None), default=None)
