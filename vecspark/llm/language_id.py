@@ -12,7 +12,6 @@ but never learned from; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ from vecspark.llm.common import crc_mod, held_out
 from vecspark.llm.sampling import labelled_sample
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -45,6 +43,12 @@ class Params:
     width: int = 4096
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is in one of Unicode's letter categories; number signs such as ² or Ⅷ
+    are not."""
+    return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
@@ -155,7 +159,7 @@ def train(texts: list[str], labels: list[str], params: Params) -> tuple[Network,
     rng = np.random.default_rng(p.seed)
     by_label: list[list[np.ndarray]] = [[] for _ in names]
     for text, label in zip(texts, labels, strict=True):
-        if _LETTER.search(text):
+        if has_letter(text):
             rows = segments(text.lower().encode("utf-8", "surrogatepass"), p.segment)
             by_label[names.index(label)].append(rows[rng.permutation(len(rows))[: p.segments_per_row]])
     names, by_label = [n for n, x in zip(names, by_label, strict=True) if x], [np.concatenate(x) for x in by_label if x]
@@ -181,7 +185,7 @@ def pooled(net: Network, texts: list[str | None], params: Params) -> np.ndarray:
     """Mean label probabilities over all positions of each text; NaN for texts without letters."""
     rows, owner = [], []
     for i, text in enumerate(texts):
-        if text and _LETTER.search(text):
+        if has_letter(text):
             rows.append(segments(text.lower().encode("utf-8", "surrogatepass"), params.segment))
             owner.append(np.full(len(rows[-1]), i))
     n_labels = len(net.w["bias"])
