@@ -58,8 +58,9 @@ def _turns_of(items: Column, role: str, text: str) -> Callable[[DataFrame], Data
 
 
 def _pair(*parts: tuple[str, Column]) -> Callable[[DataFrame], DataFrame]:
-    items = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in parts)), lambda m: m.text.isNotNull())
-    return _turns_of(items, "role", "text")
+    """One turn a part; NULL texts are empty ones, but without a system text there is no such turn."""
+    items = F.array(*(F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in parts))
+    return _turns_of(F.filter(items, lambda m: (m.role != "system") | m.text.isNotNull()), "role", "text")
 
 
 def layouts() -> list[Layout]:
