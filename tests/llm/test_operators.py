@@ -320,6 +320,51 @@ def test_weak_parts_of_any_length_are_linked_whole(size):
         assert found == set(parts.items())
 
 
+def brute_base(text):
+    import re
+
+    out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    return out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+
+
+def brute_links(text, reach=240):
+    """All triples of parts, by plain loops over plain patterns; what one token of them covers twice
+    counts for the identifier or the endpoint."""
+    import re
+
+    base = brute_base(text)
+    over = lambda a, b, r=0: a[0] < b[1] + r and b[0] < a[1] + r
+    free = lambda x: not any(over(x, b[1:]) for b in base)
+    ids = [m.span() for m in re.finditer(r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|key_?id))["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@+-]{3,})""", text, re.A) if free(m.span())]
+    ends = [m.span() for m in re.finditer(r"(?:https?|ftp|jdbc:\w{2,12}|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", text, re.A)]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]+(?![A-Za-z0-9+/_-])", text) if m.end() - m.start() >= 20]
+    runs = [(s, e) for s, e in runs if not (s and text[s - 1] == "=") and re.search("[0-9]", text[s:e]) and re.search("[a-z]", text[s:e]) and re.search("[A-Z]", text[s:e])]
+    secrets = [x for x in runs if free(x) and not any(over(x, y) for y in ids + ends)]
+    near = lambda a, b: over(a, b, reach)
+    strong_id, strong_secret = [b[1:] for b in base if b[0] == "access"], [b[1:] for b in base if b[0] != "access"]
+    out = set(base)
+    for kind, xs, strong, weak in (("weak_id", ids, strong_secret, secrets), ("weak_secret", secrets, strong_id, ids)):
+        out |= {(kind, *x) for x in xs if any(near(x, y) for y in strong) or any(near(x, y) for y in weak) and any(near(x, z) for z in ends)}
+    return out | {("endpoint", *x) for x in ends if any(near(x, y) for y in ids + strong_id) and any(near(x, y) for y in secrets + strong_secret)}
+
+
+def test_links_equal_all_triples():
+    rng = random.Random(44)
+    secret = lambda: "".join(rng.choice("abcdefghijkXYZ0123456789") for _ in range(rng.choice((12, 20, 24, 60)))) + "aB3"
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            parts.append(rng.choice((lambda: "user: alice", lambda: "key_id=" + secret(), secret, lambda: "https://h.example.org/" + secret(), lambda: "ftp://x.example.org", lambda: "AKIA" + "A1B2C3D4E5F6", lambda: "password: hunter2hunter2", lambda: "plain words " * rng.choice((1, 2, 25))))())
+        text = " ".join(parts)
+        assert {s[:3] for s in secret_scan.find_spans(text)} == brute_links(text), text
+
+
+@pytest.mark.parametrize("text", ["key_id: aB3dE5gH7jK9mN1pQ3sT https://x.example.org/a", "user: alice https://h.example.org/aB3dE5gH7jK9mN1pQ3sT"])
+def test_one_token_is_not_two_parts(text):
+    assert secret_scan.find_spans(text) == []
+
+
 # Benchmark passages ---------------------------------------------------------------------------------
 
 
@@ -390,6 +435,18 @@ def test_fingerprints_estimate_likeness_and_do_not_depend_on_blocks(monkeypatch)
     assert make("") == make("") and fingerprint.likeness(make(""), make("abc")) == 0.0
 
 
+def test_likeness_is_close_to_the_spans_in_common():
+    rng, make, errors = random.Random(32), fingerprint.Fingerprinter(), []
+    spans = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    for _ in range(60):
+        a = text(rng, 400)
+        cut = rng.randrange(len(a))
+        b = a[:cut] + text(rng, rng.choice([0, 20, 400]))
+        x, y = spans(a), spans(b)
+        errors.append(fingerprint.likeness(make(a), make(b)) - len(x & y) / len(x | y))
+    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.25  # 64 hashes: a deviation of 0.06
+
+
 def test_edited_texts_and_next_documents(spark):
     rng = random.Random(12)
     rows = [(7 * i, text(rng, rng.choice([1, 2, 30, 300]))) for i in range(80)] + [(3, None), (4, ""), (5, "é😀漢字" * 5), (5, "é😀漢字" * 5), (None, "first of all")]
@@ -449,10 +506,40 @@ def test_scores_equal_a_plain_count(spark):
         own = [*lattice_lm.words(t), "end"]
         want.append((i, held(i), len(own), sum(c[w] > 0 for w in own), n, round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), 3)))
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == Counter(want)
-    assert all(r.score < 0 for r in got)
+    pieces, log_p = lattice_lm.vocabulary()
+    p = dict(zip(pieces, np.exp(log_p).tolist(), strict=True))
+    learnt = sum(i is not None and not held(i) for i, _ in rows)
+    full = [sum(np.log10(plain_marginal(p, w)) for w in lattice_lm.words(t)) + np.log10(learnt / n) for _, t in rows]
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter((i, round(x, 6)) for (i, _), x in zip(rows, full, strict=True))
+    adapted = lattice_lm.score(frame(spark, rows), params=lattice_lm.Params(rounds=2)).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in adapted) == Counter((r.doc_id, round(r.score, 6)) for r in got)
+    assert sum(r.adapted_score for r in adapted) > sum(r.score for r in got) and all(r.adapted_score < 0 for r in adapted)
     assert lattice_lm.score(frame(spark, [])).count() == 0
 
 
+def plain_marginal(p, word):
+    """Sum over all segmentations, position by position."""
+    data = b" " + word
+    alpha = [1.0] + [0.0] * len(data)
+    for i in range(len(data)):
+        for k in range(1, min(40, len(data) - i) + 1):
+            alpha[i + k] += alpha[i] * p.get(data[i : i + k], 0.0)
+    return alpha[-1]
+
+
+def test_long_words_are_walked_to_the_same_sum(monkeypatch):
+    rng = random.Random(31)
+    pieces, log_p = lattice_lm.vocabulary()
+    lattice = lattice_lm.Lattice(pieces)
+    batch = [bytes(rng.choice(b"etaoinshr\xc3\xa9") for _ in range(n)) for n in (1, 39, 40, 41, 99, 100, 101, 300, 900)]
+    want = lattice.forward(batch, log_p)[0]
+    monkeypatch.setattr(lattice_lm, "PART", 50)
+    assert [lattice.walk(w, log_p) for w in batch] == pytest.approx(want.tolist())
+    monkeypatch.setattr(lattice_lm, "LONG", 60)
+    assert lattice.forward(batch, log_p)[0] == pytest.approx(want)
+    assert np.isfinite(lattice.walk(b"ab" * 150_000, log_p))
+
+
 # Classifiers --------------------------------------------------------------------------------------
 
 
@@ -494,6 +581,13 @@ def test_language_held_out(spark, sf_dir):
     assert {r.lang_pred for r in language_id.predict(odd.withColumn("lang", F.lit(None).cast("string")), params=p).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("sign", ["² ½", "Ⅷ", "١٢ ⅓", "🙂", "_ 7"])
+def test_number_signs_are_no_letters(sign):
+    net = language_id.Network(4, 2, 1)
+    assert not language_id.has_letter(sign) and np.isnan(language_id.pooled(net, [sign], language_id.Params())).all()
+    assert language_id.has_letter(sign + "é") and not np.isnan(language_id.pooled(net, [sign + "é"], language_id.Params())).any()
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(15)
     bad = ["filthoid", "scumbrag", "wretchov", "nastelop"]
@@ -543,6 +637,12 @@ def test_chat_round_trip(spark):
     assert chat_format.format_turns(chat_format.to_turns(df.limit(0))).count() == 0
 
 
+def test_null_outputs_are_empty_turns(spark):
+    rows = spark.createDataFrame([(1, "ask", None, None), (2, None, None, "say")], "conv_id long, instruction string, input string, output string")
+    got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat_format.to_turns(rows).collect()}
+    assert got == {(1, 0): ("user", "ask"), (1, 1): ("assistant", ""), (2, 0): ("user", ""), (2, 1): ("assistant", "say")}
+
+
 def test_layouts_lead_to_the_same_turns(spark):
     want = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo")]
     frames = [
