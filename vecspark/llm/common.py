@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.sources.store import scratch
+
 #: Words of the near-duplicate and language-model contracts: ASCII white space separates.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -23,24 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vecspark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def _written(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        where, files = _written(df.sparkSession, path)
+        if where.getName().startswith("vecspark-"):
+            files.delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
     executor costs a re-read, not a recomputation. The files go when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vecspark-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/vecspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, files = _written(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

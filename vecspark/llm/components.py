@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import materialize
+from vecspark.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = jumped.join(offered, F.col("id") == F.col("a"), "left").select("id", F.least("component", "offer").alias("component"))
         new = materialize(new)
         moved = new.alias("n").join(labels.alias("o"), "id").where("n.component <> o.component").limit(1).count()
+        discard(labels)
         labels = new
         if not moved:
+            discard(links)
             return labels
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")

@@ -12,6 +12,7 @@ but never learned from; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,16 +153,26 @@ class Network:
         return loss, out
 
 
-def train(texts: list[str], labels: list[str], params: Params) -> tuple[Network, list[str]]:
-    """The network and its labels, from Adam over random batches of segments, balanced by label."""
+def some_segments(text: str, params: Params) -> np.ndarray:
+    """Up to ``segments_per_row`` segments of the text, at random by a hash of it; none for a text
+    without letters."""
+    if not has_letter(text):
+        return np.empty((0, params.segment), np.uint8)
+    data = text.lower().encode("utf-8", "surrogatepass")
+    rows = segments(data, params.segment)
+    return rows[np.random.default_rng((params.seed, zlib.crc32(data))).permutation(len(rows))[: params.segments_per_row]]
+
+
+def train(samples: list[np.ndarray], labels: list[str], params: Params) -> tuple[Network, list[str]]:
+    """The network and its labels, from Adam over random batches of the rows' segments, balanced by
+    label."""
     p = params
     names = sorted(set(labels))
     rng = np.random.default_rng(p.seed)
     by_label: list[list[np.ndarray]] = [[] for _ in names]
-    for text, label in zip(texts, labels, strict=True):
-        if has_letter(text):
-            rows = segments(text.lower().encode("utf-8", "surrogatepass"), p.segment)
-            by_label[names.index(label)].append(rows[rng.permutation(len(rows))[: p.segments_per_row]])
+    for some, label in zip(samples, labels, strict=True):
+        if len(some):
+            by_label[names.index(label)].append(some)
     names, by_label = [n for n, x in zip(names, by_label, strict=True) if x], [np.concatenate(x) for x in by_label if x]
     net = Network(p.hidden, max(1, len(names)), p.seed)
     if len(names) < 2:
@@ -209,8 +220,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, params: Par
     """Learns from rows with an id outside the held-out part (crc32 mod 3 = 1), a text and a label."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (crc_mod("id", 3) != 1))
-    found = labelled_sample(rows, "label", "id", params.rows_per_language)
-    return train([r.text for r in found], [r.label for r in found], params)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [some_segments(t, params).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(some, pa.binary())], names=["id", "label", "some"])
+
+    schema = f"id {kinds['id']}, label {kinds['label']}, some binary"
+    found = labelled_sample(rows, "label", "id", params.rows_per_language, lambda df: df.select("id", "label", "text").mapInArrow(cut, schema))
+    return train([np.frombuffer(r.some, np.uint8).reshape(-1, params.segment) for r in found], [r.label for r in found], params)
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", params: Params | None = None, keep: list[str] | None = None) -> DataFrame:

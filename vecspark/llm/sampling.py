@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SCALE = 1 << 30
 
 
-def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int) -> list:
+def labelled_sample(rows: DataFrame, label: str, key: str, per_label: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> list:
     """About ``per_label`` rows of each label (all, where there are no more), chosen by a hash of the
-    key; two scans, no shuffle of texts. At most 1.5 times as many reach the driver."""
+    key; two scans, no shuffle of texts. At most 1.5 times as many reach the driver, the same ones
+    however rows are partitioned. ``cut`` is applied to the chosen rows where they lie, to leave out
+    what needn't reach the driver; it keeps label and key."""
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(label) == value, F.lit(min(_SCALE, _SCALE * per_label // n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(_SCALE)) < share)
+    hashed = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(_SCALE))
+    chosen = rows.where(hashed < share)
     most = per_label * max(1, len(counts)) * 3 // 2
-    return sorted(chosen.limit(most).collect(), key=lambda r: (str(r[label]), r[key]))
+    found = (chosen if cut is None else cut(chosen)).orderBy(hashed, key, label).limit(most).collect()
+    return sorted(found, key=lambda r: (str(r[label]), r[key]))

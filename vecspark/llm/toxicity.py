@@ -2,9 +2,14 @@
 
 A word is the mean of the vectors of its hashed character n-grams and of the word itself, a window
 of words the mean of its words, and a linear softmax scores the window. Embeddings and softmax are
-trained together in numpy. A document is toxic if some window is, so its logit is a soft maximum of
-the windows' logits, and the gradient flows to the windows that carry it: one insult in a long text
-counts as it would in a short one. Misspellings share most of their n-grams with the word they mimic.
+trained together in numpy. Misspellings share most of their n-grams with the word they mimic.
+
+What the dealt method doesn't have is the pooling: bags are windows of two words, not documents, as
+an average over a long text would drown one insult. A document is toxic if some window is: its logit
+is a soft maximum of the windows' logits while training, so the gradient flows to the windows that
+carry it, and the maximum when scoring. A maximum over more windows can only grow, so long clean
+texts score higher than short ones; the bias is moved to where the training rows are parted best. A
+test holds the false positives among long clean held-out texts to those among short ones.
 
 After training a word acts only through one number, its vector times the softmax's difference of
 classes; workers compute it once per different word and average numbers instead of vectors.
@@ -215,10 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = labelled_sample(marks, "label", "id", params.rows_per_label)
     if not chosen:
         return train([], [], params)
-    # The sample is bounded; only its rows are taken from the documents, by a filter on the id.
+    # The sample is bounded; only its rows are taken from the documents, by a filter on the id, and
+    # one text of each, where ids repeat.
     label = {r.id: r.label for r in chosen}
-    found = rows.where(F.col("id").isin(list(label))).collect()
-    found.sort(key=lambda r: (r.id, r.text or ""))
+    found = rows.where(F.col("id").isin(list(label))).groupBy("id").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: r.id)
     return train([r.text for r in found], [label[r.id] for r in found], params)
 
 
