@@ -112,6 +112,20 @@ def test_kmeans_misuse(spark):
         model.centroids  # noqa: B018
 
 
+def without_entry(rows, edges):
+    """Ids on layer 0 that no path reaches from their shard's smallest id."""
+    for shard, part in rows.toPandas().groupby("shard"):
+        e = edges.where((F.col("shard") == int(shard)) & (F.col("layer") == 0)).toPandas()
+        near = e.groupby("src")["dst"].apply(list).to_dict()
+        seen, stack = set(), [int(part["id"].min())]
+        while stack:
+            i = stack.pop()
+            if i not in seen:
+                seen.add(i)
+                stack += near.get(i, [])
+        yield from set(part["id"]) - seen
+
+
 @pytest.mark.parametrize("metric", list(DistanceMetric))
 def test_graph_recall_and_maintenance(points, metric):
     unit = points.select("id", "vector")
@@ -122,7 +136,7 @@ def test_graph_recall_and_maintenance(points, metric):
     recalls = [evaluate.recall(hnsw.search_batch(rows, edges, queries, 10, ef, metric), truth, 10).agg(F.avg("recall")).first()[0] for ef in (10, 100)]
     assert recalls[1] >= recalls[0] and recalls[1] > 0.9
     if metric == L2:
-        assert list(hnsw.components_without_entry(rows, edges)) == []
+        assert list(without_entry(rows, edges)) == []
         better = hnsw.optimize(rows, edges, metric, 8).cache()
         assert evaluate.recall(hnsw.search_batch(rows, better, queries, 10, 50, metric), truth, 10).agg(F.avg("recall")).first()[0] > 0.8
         assert hnsw.over_full(better, 8).count() == 0
@@ -133,6 +147,58 @@ def test_graph_recall_and_maintenance(points, metric):
         assert filtered.where("id % 2 = 1").count() == 0
 
 
+def test_a_walk_over_everything_is_exact(points, array):
+    """A beam as wide as a shard reaches all of it, in any number of shards."""
+    queries = points.where("id < 30").select(F.col("id").alias("query_id"), "vector")
+    truth = knn.knn_batch(points, queries, 10, L2)
+    for size in (100, 10_000):
+        shards = hnsw.build_shards(points, L2, HNSWParams(m=4, ef_construction=8), shard_rows=size).cache()
+        assert shards.count() == max(1, -(-points.count() // size))
+        found = hnsw.search_shards(shards, queries, 10, 10_000, L2)
+        assert sorted(map(tuple, found.select("query_id", "rank", "id").collect())) == sorted(map(tuple, truth.select("query_id", "rank", "id").collect()))
+        assert list(without_entry(hnsw.node_table(shards), hnsw.edge_table(shards))) == []
+        assert hnsw.over_full(hnsw.edge_table(shards).where("layer = 0"), 4).where("n > 12").count() == 0
+
+
+def test_construction_width_is_honoured(array):
+    layers = np.zeros(len(array), int)
+    degree = [sum(len(x) for x in hnsw.build_graph(array, layers, L2, HNSWParams(m=16, ef_construction=n))[0]) for n in (34, 64, 200)]
+    near = [hnsw.choose(np.zeros(1, int), np.argsort(((array - array[0]) ** 2).sum(1))[None, 1 : n + 1], np.sort(np.sqrt(((array - array[0]) ** 2).sum(1)))[None, 1 : n + 1], 4, lambda a, b: np.sqrt(((array[a] - array[b]) ** 2).sum(-1))) for n in (8, 200)]
+    assert len(set(degree)) == 3 and near[0].sum() == near[1].sum() == 4
+
+
+def test_choosing_in_step_equals_one_by_one(array):
+    full = np.sqrt(((array[:, None] - array[None]) ** 2).sum(-1))
+    np.fill_diagonal(full, np.inf)
+    near = np.argsort(full, axis=1)[:, :60]
+    got = hnsw.choose(np.arange(len(array)), near, np.take_along_axis(full, near, axis=1), 6, lambda a, b: full[a, b])
+    for i in range(0, len(array), 7):
+        want = hnsw.select_heuristic([(full[i, j], int(j)) for j in near[i]], 6, lambda a, b: full[a, b])
+        assert set(near[i][got[i]].tolist()) == set(want)
+
+
+@pytest.mark.parametrize("metric", list(DistanceMetric))
+def test_stored_graphs_take_rows_in_and_out(points, metric):
+    p = HNSWParams(m=8, ef_construction=100)
+    first = hnsw.build_shards(points.where("id % 2 = 0"), metric, p, shard_rows=120).cache()
+    n = first.count()
+    more = hnsw.update(first, points.where("id % 2 = 1"), points.where("id % 10 = 4").select("id"), metric, p).cache()
+    left = points.where("id % 10 <> 4")
+    assert n > 1 and more.count() == n and hnsw.max_layer(more) >= 1
+    assert sorted(r.id for r in hnsw.node_table(more).collect()) == sorted(r.id for r in left.collect())
+    edges = hnsw.edge_table(more).cache()
+    assert edges.where("src % 10 = 4 OR dst % 10 = 4").count() == 0 and list(without_entry(hnsw.node_table(more), edges)) == []
+    queries = points.where("id < 60").select(F.col("id").alias("query_id"), "vector")
+    truth = knn.knn_batch(left, queries, 10, metric)
+    assert evaluate.recall(hnsw.search_shards(more, queries, 10, 60, metric), truth, 10).agg(F.avg("recall")).first()[0] > 0.9
+    same = hnsw.update(more, points.where("id < 0"), points.where("id < 0").select("id"), metric, p)
+    assert sorted(map(tuple, same.select("shard", "edges").collect())) == sorted(map(tuple, more.select("shard", "edges").collect()))
+    empty = hnsw.update(more, points.where("id < 0"), points.select("id"), metric, p)
+    assert hnsw.node_table(empty).count() == 0 and hnsw.search_shards(empty, queries, 3, 10, metric).count() == 0
+    again = hnsw.update(empty, points.where("id < 50"), points.where("id < 0").select("id"), metric, p)
+    assert hnsw.node_table(again, True).select("id", "vector").exceptAll(points.where("id < 50").select("id", "vector")).count() == 0
+
+
 def test_select_heuristic_keeps_spread_and_fills_with_the_nearest():
     x = {0: 0.0, 1: 1.0, 2: 1.1, 3: -2.0}
     between = lambda a, b: abs(x[a] - x[b])

@@ -103,6 +103,8 @@ class SearchParams:
     ef_search: int = 50
     n_probe: int = 10
     filter: Column | None = None
+    #: Inverted lists leave the filter out, as callers of engines without filters there may expect.
+    compat_ignore_filter: bool = False
 
 
 @dataclass(frozen=True)

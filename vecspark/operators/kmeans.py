@@ -1,7 +1,7 @@
 """k-means: seeds spread by squared distance, then Lloyd's iterations over all rows.
 
-Each iteration is one scan. Tasks add up their rows per cluster, so what is shuffled and what comes
-back are sums of the model's size; centroids are broadcast, k * dim numbers.
+Each iteration is one scan. Tasks add up their rows per cluster, so what is shuffled is a row of sums
+per task and cluster, and one per cluster comes back; centroids are broadcast, k * dim numbers.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +69,16 @@ def step(vectors: DataFrame, centroids: np.ndarray, metric: int) -> tuple[np.nda
                 n += np.bincount(near, minlength=k)
                 np.add.at(sums, near, x)
         at = np.nonzero(n)[0]
-        cell = np.repeat(at, dim), np.tile(np.arange(dim), len(at))
-        yield pa.RecordBatch.from_arrays([pa.array(cell[0]), pa.array(cell[1]), pa.array(sums[at].ravel()), pa.array(np.repeat(n[at], dim))], names=["c", "pos", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array([sums[c].tobytes() for c in at], pa.binary())], names=["c", "n", "s"])
 
-    rows = vectors.select("vector").mapInArrow(run, "c long, pos long, s double, n long").groupBy("c", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        added = np.sum([np.frombuffer(x) for x in pdf["s"]], axis=0)
+        return pd.DataFrame({"c": pdf["c"].iloc[:1], "n": [pdf["n"].sum()], "s": [added.tobytes()]})
+
+    kind = "c long, n long, s binary"
     means, sizes = np.full((k, dim), np.nan), np.zeros(k, np.int64)
-    for r in rows.collect():
-        means[r.c, r.pos], sizes[r.c] = r.s / r.n, r.n
+    for r in vectors.select("vector").mapInArrow(run, kind).groupBy("c").applyInPandas(total, kind).collect():  # a row per cluster
+        means[r.c], sizes[r.c] = np.frombuffer(r.s) / r.n, r.n
     return means, sizes
 
 
@@ -155,7 +159,8 @@ class KMeans:
         k = min(self._k, facts.n)
         share = min(1.0, 1.2 * max(p.seed_rows, 4 * k) / facts.n)
         rows = vectors.select("id", "vector").where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-        rows = sorted(rows.limit(2 * max(p.seed_rows, 4 * k)).collect(), key=lambda r: r.id)
+        rows = rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(2 * max(p.seed_rows, 4 * k))
+        rows = sorted(rows.collect(), key=lambda r: r.id)
         sample = np.array([r.vector for r in rows], float)
         if len(sample) < k:
             raise ValueError("too few rows to seed from; raise seed_rows")

@@ -2,17 +2,20 @@
 
 State is a version in a store; searches read the version that was current when they began, and one
 writer at a time moves it on. Without a data path the versions live in the shared checkpoint folder.
-Indexes are tables derived from a version and are built on first use: inverted lists are trained by
-the first batch into an empty collection and keep their centroids; graphs are built anew.
+Indexes are tables derived from a version, made on first use and brought up to date by what came and
+went since: inverted lists are trained by the first batch into an empty collection, unless centroids
+were given, and get a part for each write that a search has followed; graphs take rows in and out of
+the shards that they fall into, and are built anew only where most rows have changed. Saving writes
+the index beside the records, and loading takes it over.
 """
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +25,21 @@ import vecspark
 from vecspark.model import RECORD_SCHEMA, Config, DatabaseStats, ErrorCode, IndexType, SearchParams, SearchResult, VectorRecord, id_to_long, long_to_id
 from vecspark.operators import evaluate, hnsw, ivf, knn, writes
 from vecspark.operators.kmeans import assign
-from vecspark.sources.store import Manifest, Store, StoreError
+from vecspark.operators.writelog import WriteLog
+from vecspark.sources.store import Manifest, Store, StoreError, scratch
+
+
+#: A stored part of inverted lists.
+LISTS = "id long, vector array<float>, metadata string, cluster_id int"
+
+
+@dataclass(frozen=True)
+class _Index:
+    """What is stored of an index: folders with the version at which each was up to date."""
+
+    version: int
+    parts: list[list]
+    shards: int = 0
 
 
 class Collection:
@@ -32,11 +49,11 @@ class Collection:
             raise ValueError("dimension must be positive")
         self._lock = threading.RLock()
         self._queries, self._query_ms, self._inserts = 0, 0.0, 0
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
-        self._store = Store(spark, f"{shared.rstrip('/')}/collection-{uuid.uuid4().hex}")
+        self._store = Store(spark, f"{scratch(spark)}/collection-{uuid.uuid4().hex}")
         self._manifest = self._empty()
         self._centroids: np.ndarray | None = None
-        self._index: tuple | None = None  # (version, tables)
+        self._given = False  # centroids were set, so they aren't trained
+        self._index: _Index | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, config: Config | None = None) -> Collection:
@@ -122,7 +139,7 @@ class Collection:
         new = new.select(*(F.col(f.name).cast(f.dataType) for f in RECORD_SCHEMA.fields))
         removals = [*m.removals, [m.version, self._store.write_folder(old, "del")]] if old is not None else m.removals
         folder = self._store.write_folder(new, "add")
-        train = not m.count and self._config.index_type == IndexType.IVF
+        train = not m.count and self._config.index_type == IndexType.IVF and not self._given
         self._commit(Manifest(m.version + 1, m.dimension, m.metric, m.index, m.count + n - n_old, [*m.adds, [m.version + 1, folder]], removals, m.facts))
         self._inserts += n
         if train:
@@ -141,9 +158,26 @@ class Collection:
         if self._config.index_type != IndexType.IVF or not self._manifest.count:
             return ErrorCode.INVALID_STATE
         with self._lock:
+            self._given = False
             self._train(self._manifest.count)
         return ErrorCode.OK
 
+    def apply(self, log: WriteLog) -> ErrorCode:
+        """Replays a log onto the current version and swaps in the result, all in one step; readers
+        see all of it or nothing. The log is cleared once that is done."""
+        with self._lock:
+            rows = log.frame()
+            if rows.where((F.col("op") == "insert") & (F.size("vector") != self._config.dimension)).limit(1).count():
+                return ErrorCode.DIMENSION_MISMATCH
+            last = writes.last_wins(rows)
+            old = self.records().select("id").join(last.select("id"), "id", "left_semi")
+            new = last.where("op = 'insert'").select("id", "vector", F.lit(None).cast("string").alias("metadata"))
+            n_old, n = old.count(), new.count()
+            if n or n_old:
+                self._add(new, n, old if n_old else None, n_old)
+            log.clear()
+        return ErrorCode.OK
+
     def _commit(self, manifest: Manifest) -> None:
         self._store.commit(manifest)
         self._manifest = manifest
@@ -164,39 +198,60 @@ class Collection:
             return n
 
     def compact(self) -> ErrorCode:
-        """Merges what was added and removed into one folder, and drops the index tables."""
+        """Merges what was added and removed into one folder, and the index's parts likewise."""
         with self._lock:
             m = self._manifest
             folder = self._store.write_folder(self.records(), "add")
+            index = self._index and self._up_to_date()
+            if index and self._config.index_type == IndexType.IVF and len(index.parts) + len(m.removals) > 1:
+                index = _Index(m.version, [[m.version, self._store.write_folder(self._lists(index, m), "lists", "cluster_id")]])
             self._commit(Manifest(m.version + 1, m.dimension, m.metric, m.index, m.count, [[m.version + 1, folder]], [], m.facts))
-            self._index = None
+            self._index = index and _Index(m.version + 1, [[m.version + 1, f] for _, f in index.parts], index.shards)
         return ErrorCode.OK
 
     # Searching -------------------------------------------------------------------------------------
 
-    def _tables(self) -> tuple:
-        """The index's tables at the current version, written once per version."""
+    def _lists(self, index: _Index, m: Manifest) -> DataFrame:
+        return self._store.alive(self._store.union(index.parts, LISTS, "__v"), m.removals)
+
+    def _up_to_date(self) -> _Index:
+        """The index at the current version; only what changed since is worked into it."""
+        with self._lock:
+            m, metric, p = self._manifest, self._config.distance_metric, self._config.hnsw_params
+            old = self._index
+            if old is not None and old.version == m.version:
+                return old
+            if self._config.index_type == IndexType.IVF:
+                added, _ = self._store.changes(m, old.version if old else -1)
+                folder = self._store.write_folder(assign(added, self._centroids, metric), "lists", "cluster_id")
+                self._index = _Index(m.version, [*(old.parts if old else []), [m.version, folder]])
+                return self._index
+            if old is not None:
+                added, removed = self._store.changes(m, old.version)
+                if 2 * (added.count() + removed.count()) <= m.count <= 2 * hnsw.SHARD_ROWS * old.shards:
+                    shards = hnsw.update(self._store.table(old.parts[0][1]), added, removed, metric, p, old.shards)
+                    self._index = _Index(m.version, [[m.version, self._store.write_folder(shards, "graph")]], old.shards)
+                    return self._index
+            folder = self._store.write_folder(hnsw.build_shards(self.records(), metric, p), "graph")
+            self._index = _Index(m.version, [[m.version, folder]], max(1, -(-m.count // hnsw.SHARD_ROWS)))
+            return self._index
+
+    def _table(self) -> DataFrame:
+        """The index's table: rows with their cluster, or packed shards."""
         with self._lock:
-            m, metric = self._manifest, self._config.distance_metric
-            if self._index is None or self._index[0] != m.version:
-                if self._config.index_type == IndexType.IVF:
-                    name = f"ivf-{uuid.uuid4().hex}"
-                    assign(self.records(), self._centroids, metric).write.partitionBy("cluster_id").parquet(f"{self._store.root}/{name}")
-                    self._index = (m.version, (self._store.table(name),))
-                else:
-                    rows, edges, _ = hnsw.build(self.records(), metric, self._config.hnsw_params)
-                    names = [self._store.write_folder(rows, "nodes"), self._store.write_folder(edges, "edges")]
-                    self._index = (m.version, tuple(self._store.table(n) for n in names))
-            return self._index[1]
+            index, m = self._up_to_date(), self._manifest
+            return self._lists(index, m) if self._config.index_type == IndexType.IVF else self._store.table(index.parts[0][1])
 
     def optimize(self) -> ErrorCode:
         """Chooses over-full neighbour lists of the graph anew."""
         if self._config.index_type != IndexType.HNSW or not self._manifest.count:
             return ErrorCode.INVALID_STATE
         with self._lock:
-            rows, edges = self._tables()
-            new = hnsw.compact(rows, hnsw.optimize(rows, edges, self._config.distance_metric, self._config.hnsw_params.m))
-            self._index = (self._manifest.version, (rows, self._store.table(self._store.write_folder(new, "edges"))))
+            shards = self._table()
+            nodes, edges = hnsw.node_table(shards, True), hnsw.edge_table(shards)
+            new = hnsw.compact(nodes, hnsw.optimize(nodes, edges, self._config.distance_metric, self._config.hnsw_params.m))
+            folder = self._store.write_folder(hnsw.pack(nodes, new), "graph")
+            self._index = _Index(self._manifest.version, [[self._manifest.version, folder]], self._index.shards)
         return ErrorCode.OK
 
     def _params(self, params: SearchParams | None) -> SearchParams:
@@ -214,7 +269,7 @@ class Collection:
         elif c.index_type == IndexType.FLAT:
             rows = knn.knn(self.records(), query, k, c.distance_metric, p.filter).collect()
         elif c.index_type == IndexType.IVF:
-            rows = ivf.search(self._tables()[0], self._centroids, query, k, p.n_probe, c.distance_metric, p.filter).collect()
+            rows = ivf.search(self._table(), self._centroids, query, k, p.n_probe, c.distance_metric, None if p.compat_ignore_filter else p.filter).collect()
         else:
             one = self._spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, vector array<float>")
             rows = sorted(self.search_batch(one, k, params).collect(), key=lambda r: r.rank)
@@ -230,9 +285,8 @@ class Collection:
         if not self._manifest.count or c.index_type == IndexType.FLAT:
             return knn.knn_batch(self.records(), queries, k, c.distance_metric, p.filter)
         if c.index_type == IndexType.IVF:
-            return ivf.search_batch(self._tables()[0], self._centroids, queries, k, p.n_probe, c.distance_metric, p.filter)
-        rows, edges = self._tables()
-        return hnsw.search_batch(rows, edges, queries, k, p.ef_search, c.distance_metric, p.filter, c.hnsw_params)
+            return ivf.search_batch(self._table(), self._centroids, queries, k, p.n_probe, c.distance_metric, None if p.compat_ignore_filter else p.filter)
+        return hnsw.search_shards(self._table(), queries, k, p.ef_search, c.distance_metric, p.filter, c.hnsw_params)
 
     # Statistics and storage ------------------------------------------------------------------------
 
@@ -243,7 +297,7 @@ class Collection:
         elif c.index_type == IndexType.IVF:
             index = evaluate.clustered_memory(n, 0 if self._centroids is None else len(self._centroids), c.dimension)
         else:
-            index = evaluate.graph_memory(n, c.dimension, self._tables()[1].count() if n else 0)
+            index = evaluate.graph_memory(n, c.dimension, hnsw.edge_table(self._table()).count() if n else 0)
         mean = self._query_ms / self._queries if self._queries else 0.0
         return DatabaseStats(n, c.dimension, n * (64 + 4 * c.dimension) + index, index, mean, self._queries, self._inserts)
 
@@ -261,10 +315,12 @@ class Collection:
                 target, m = Store(self._spark, self._config.data_path), self._manifest
                 before = target.current()
                 folder = target.write_folder(self.records(), "add")
-                facts = {} if self._centroids is None else {"centroids": np.asarray(self._centroids, float).tolist()}
+                facts = {} if self._centroids is None else {"centroids": np.asarray(self._centroids, float).tolist(), "given": self._given}
+                if m.count and self._config.index_type != IndexType.FLAT:
+                    kind, by = ("lists", "cluster_id") if self._config.index_type == IndexType.IVF else ("graph", None)
+                    facts |= {"part": target.write_folder(self._table(), kind, by), "shards": self._index.shards}
                 target.commit(Manifest((before.version if before else 0) + 1, m.dimension, m.metric, m.index, m.count, [[0, folder]], [], facts))
-                for _, name in [*(before.adds if before else [])]:
-                    target.files.delete(name)
+                target.prune()
             return ErrorCode.OK
         except Exception as e:  # any failure of the file system is one kind of error to callers
             if isinstance(e, StoreError) or "Exception" in type(e).__name__ or "Py4J" in type(e).__name__:
@@ -287,16 +343,22 @@ class Collection:
         if m.metric != int(self._config.distance_metric):
             return ErrorCode.INVALID_PARAMETER
         with self._lock:
-            folder = self._store.write_folder(source.records(m), "add")
-            self._commit(Manifest(self._manifest.version + 1, m.dimension, m.metric, int(self._config.index_type), m.count, [[self._manifest.version + 1, folder]]))
+            folder, version = self._store.write_folder(source.records(m), "add"), self._manifest.version + 1
+            part, index = m.facts.get("part") if m.index == int(self._config.index_type) else None, None
+            if part:
+                kind, by = ("lists", "cluster_id") if self._config.index_type == IndexType.IVF else ("graph", None)
+                index = _Index(version, [[version, self._store.write_folder(source.table(part), kind, by)]], m.facts.get("shards", 0))
+            self._commit(Manifest(version, m.dimension, m.metric, int(self._config.index_type), m.count, [[version, folder]]))
             self._centroids = np.array(m.facts["centroids"]) if m.facts.get("centroids") else None
+            self._given = bool(m.facts.get("given"))
             if self._centroids is None and self._config.index_type == IndexType.IVF and m.count:
                 self._train(m.count)
-            self._index, self._inserts = None, m.count
+            self._index, self._inserts = index, m.count
         return ErrorCode.OK
 
     def set_centroids(self, centroids: np.ndarray) -> ErrorCode:
-        """Replaces the clusters' centroids and drops all vectors."""
+        """Replaces the clusters' centroids and drops all vectors; what comes next falls into these
+        clusters, until :meth:`retrain`."""
         c = np.asarray(centroids, float)
         if not len(c):
             return ErrorCode.INVALID_PARAMETER
@@ -304,7 +366,7 @@ class Collection:
             return ErrorCode.DIMENSION_MISMATCH
         with self._lock:
             self._commit(Manifest(self._manifest.version + 1, self._manifest.dimension, self._manifest.metric, self._manifest.index, 0))
-            self._centroids, self._index = c, None
+            self._centroids, self._given, self._index = c, True, None
         return ErrorCode.OK
 
     @property

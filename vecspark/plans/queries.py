@@ -5,7 +5,6 @@ Distances are rounded to six digits on both sides; ties are ordered by id.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +28,7 @@ from vecspark.model import (
 from vecspark.operators import evaluate, hnsw, ivf, kmeans, knn, writes
 from vecspark.plans.collection import Collection
 from vecspark.sources.formats import uniform_vectors
+from vecspark.sources.store import scratch
 from vecspark.streaming.ingest import event_rates
 
 DIM = 64
@@ -61,11 +61,7 @@ def scaled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", F.transform("vector", lambda x: (x * (1 + F.col("label"))).cast("float")))
 
 
-def asked(rows: DataFrame, n: int) -> DataFrame:
-    return rows.where(F.col("id") < n).select(F.col("id").alias("query_id"), "vector")
-
-
-def asked_all(rows: DataFrame) -> DataFrame:
+def asked(rows: DataFrame) -> DataFrame:
     """Every hundredth id, so that queries grow with the table."""
     return rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
 
@@ -111,10 +107,10 @@ def sql_knn(metric: int, k: int, where: str = "true", with_: str = E) -> str:
 FROM (SELECT e.id, {d} AS d FROM e, (SELECT v FROM e WHERE id = 0) q WHERE {where}) ORDER BY d, id LIMIT {k}"""
 
 
-def sql_batch(metric: int, n: int, k: int, where: str = "true", with_: str = E) -> str:
+def sql_batch(metric: int, k: int, where: str = "true", with_: str = E, asked: str = "q.id % 100 = 0") -> str:
     return f"""{with_} SELECT query_id, id, round(d, 6) AS distance, rank FROM (
 SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::BIGINT AS rank
-FROM (SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", metric)} AS d FROM e, e q WHERE q.id < {n} AND {where})) WHERE rank <= {k}"""
+FROM (SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", metric)} AS d FROM e, e q WHERE {asked} AND {where})) WHERE rank <= {k}"""
 
 
 #: The first eight vectors as centroids, and each vector's cluster.
@@ -127,15 +123,15 @@ def centroids_of(rows: DataFrame, n: int = 8) -> np.ndarray:
     return np.array([r.vector for r in found], float)
 
 
-def sql_probed(n_probe: int, n: int, k: int) -> str:
-    """Searches for ids < n in the lists of their n_probe nearest centroids."""
+def sql_probed(n_probe: int, k: int, asked: str = "q.id % 100 = 0") -> str:
+    """Searches in the lists of each query's n_probe nearest centroids."""
     return f"""{CENTROIDS},
-p AS (SELECT query_id, cluster_id FROM (SELECT q.id AS query_id, c.cluster_id, row_number() OVER (PARTITION BY q.id ORDER BY {sql_distance("q.v", "c.v", L2)}, c.cluster_id) AS n FROM e q, c WHERE q.id < {n}) WHERE n <= {n_probe}),
+p AS (SELECT query_id, cluster_id FROM (SELECT q.id AS query_id, c.cluster_id, row_number() OVER (PARTITION BY q.id ORDER BY {sql_distance("q.v", "c.v", L2)}, c.cluster_id) AS n FROM e q, c WHERE {asked}) WHERE n <= {n_probe}),
 f AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::BIGINT AS rank FROM (
   SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", L2)} AS d FROM p JOIN e q ON q.id = p.query_id JOIN a ON a.cluster_id = p.cluster_id JOIN e ON e.id = a.id)
   QUALIFY rank <= {k}),
 t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::BIGINT AS rank FROM (
-  SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", L2)} AS d FROM e, e q WHERE q.id < {n}) QUALIFY rank <= {k})"""
+  SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", L2)} AS d FROM e, e q WHERE {asked}) QUALIFY rank <= {k})"""
 
 
 # Scans ------------------------------------------------------------------------------------------------
@@ -147,20 +143,22 @@ def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("id", "label", F.size("vector").alias("dim"), F.round(total, 6).alias("total"))
 
 
-@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id = 17")
+@query("SELECT vec_id AS id, label::VARCHAR AS metadata, len(embedding)::INT AS dim FROM embeddings WHERE vec_id = 17")
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id = 17").select("id", "label")
+    c = _filled(spark, sf_dir)
+    r = c.get(17)
+    return spark.createDataFrame([] if r is None else [(r.id, r.metadata, len(r.vector))], "id long, metadata string, dim int")
 
 
 @query("SELECT i AS id, i IN (SELECT vec_id FROM embeddings) AS found FROM (SELECT unnest(range(0, 4000, 100)) AS i)")
 def contains_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = vectors(spark, sf_dir).select("id", F.lit(True).alias("f"))
-    return spark.range(0, 4000, 100).join(there, "id", "left").select("id", F.coalesce("f", F.lit(False)).alias("found"))
+    return _filled(spark, sf_dir).contains_many(spark.range(0, 4000, 100))
 
 
-@query("SELECT count(*)::BIGINT AS n, max(len(embedding))::INT AS dim FROM embeddings")
+@query("SELECT count(*)::BIGINT AS n, max(len(embedding))::INT AS dim, 0::INT AS flushed FROM embeddings")
 def size_and_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"))
+    c = _filled(spark, sf_dir)
+    return spark.createDataFrame([(c.size(), c.dimension, int(c.flush()))], "n long, dim int, flushed int")
 
 
 # Distances --------------------------------------------------------------------------------------------
@@ -251,28 +249,28 @@ def knn_postfilter_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(knn.beam_then_filter(rows, first_vector(rows), 10, 50, L2, F.col("id") % 7 == 0))
 
 
-@query(sql_batch(L2, 100, 10, with_=S))
+@query(sql_batch(L2, 10, with_=S))
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(vectors(spark, sf_dir))
-    return rounded(knn.knn_batch(rows, asked(rows, 100), 10, L2))
+    return rounded(knn.knn_batch(rows, asked(rows), 10, L2))
 
 
-@query(sql_batch(COSINE, 50, 5, with_=S))
+@query(sql_batch(COSINE, 5, with_=S))
 def knn_batch_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(vectors(spark, sf_dir))
-    return rounded(knn.knn_batch(rows, asked(rows, 50), 5, COSINE))
+    return rounded(knn.knn_batch(rows, asked(rows), 5, COSINE))
 
 
-@query(sql_batch(DOT, 50, 5, "e.label < 5", with_=S))
+@query(sql_batch(DOT, 5, "e.label < 5", with_=S))
 def knn_batch_dot_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(vectors(spark, sf_dir))
-    return rounded(knn.knn_batch(rows, asked(rows, 50), 5, DOT, F.col("label") < 5))
+    return rounded(knn.knn_batch(rows, asked(rows), 5, DOT, F.col("label") < 5))
 
 
-@query(sql_batch(L2, 1 << 40, 3, "e.id <> q.id"))
+@query(sql_batch(L2, 3, "e.id <> q.id", asked="true"))
 def knn_self_join_excl_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    found = knn.knn_batch(rows, asked(rows, 1 << 40), 4, L2).where("query_id <> id").drop("rank")
+    found = knn.knn_batch(rows, rows.select(F.col("id").alias("query_id"), "vector"), 4, L2).where("query_id <> id").drop("rank")
     return rounded(knn.top_k(found, 3))
 
 
@@ -296,20 +294,20 @@ def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{CENTROIDS} SELECT query_id, cluster_id::BIGINT AS cluster_id, round(d, 6) AS distance, rank FROM (
 SELECT q.id AS query_id, c.cluster_id, {sql_distance("q.v", "c.v", L2)} AS d, row_number() OVER (PARTITION BY q.id ORDER BY {sql_distance("q.v", "c.v", L2)}, c.cluster_id)::BIGINT AS rank
-FROM e q, c WHERE q.id < 20) WHERE rank <= 3""")
+FROM e q, c WHERE q.id % 100 = 0) WHERE rank <= 3""")
 def ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return rounded(ivf.probes(asked(rows, 20), ivf.centroid_table(spark, centroids_of(rows)), 3, L2))
+    return rounded(ivf.probes(asked(rows), ivf.centroid_table(spark, centroids_of(rows)), 3, L2))
 
 
 def _ivf(name: str, n_probe: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = vectors(spark, sf_dir)
         lists, c = _lists(rows)
-        return rounded(ivf.search_batch(lists, c, asked(rows, 20), 10, n_probe, L2))
+        return rounded(ivf.search_batch(lists, c, asked(rows), 10, n_probe, L2))
 
     run.__name__ = name
-    query(f"{sql_probed(n_probe, 20, 10)} SELECT query_id, id, round(d, 6) AS distance, rank FROM f")(run)
+    query(f"{sql_probed(n_probe, 10)} SELECT query_id, id, round(d, 6) AS distance, rank FROM f")(run)
 
 
 _ivf("ivf_search_np1", 1)
@@ -317,7 +315,7 @@ _ivf("ivf_search_np3", 3)
 _ivf("ivf_search_all_eq_flat", 100)
 
 
-@query(f"{sql_probed(2, 1, 10)} SELECT id, round(d, 6) AS distance, rank FROM f")
+@query(f"{sql_probed(2, 10, "q.id = 0")} SELECT id, round(d, 6) AS distance, rank FROM f")
 def ivf_search_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c = _lists(rows)
@@ -371,10 +369,12 @@ def kmeans_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(kmeans.movement(old, new, L2),)], "moved double").select(F.round("moved", 6).alias("moved"))
 
 
-@query("SELECT 5::BIGINT AS k")
+@query("SELECT count(*)::BIGINT AS k FROM embeddings")
 def kmeans_k_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).where("id < 5")
-    return spark.createDataFrame([(len(kmeans.KMeans(50, DIM).fit(rows).centroids),)], "k long")
+    """More clusters than rows are held to the rows."""
+    rows = vectors(spark, sf_dir)
+    model = kmeans.KMeans(rows.count() + 50, DIM, L2, kmeans.KMeansParams(max_iterations=1)).fit(rows)
+    return spark.createDataFrame([(len(model.centroids),)], "k long")
 
 
 @query()
@@ -403,51 +403,57 @@ def _records(rows: DataFrame) -> DataFrame:
     return rows.select("id", "vector", F.col("label").cast("string").alias("metadata"))
 
 
-@query("""WITH b AS (SELECT vec_id AS seq, CASE vec_id WHEN 112 THEN 111 ELSE vec_id END AS id, CASE vec_id WHEN 105 THEN 63 ELSE 64 END AS dim FROM embeddings WHERE vec_id BETWEEN 95 AND 115)
-SELECT seq, id, (CASE WHEN dim <> 64 THEN 1 ELSE 4 END)::INT AS code FROM b WHERE dim <> 64 OR id < 100 OR seq = 112""")
+def _filled(spark: SparkSession, sf_dir: str, index: IndexType = IndexType.FLAT, **kw) -> Collection:
+    c = _collection(spark, index, **kw)
+    if code := c.batch_insert(_records(vectors(spark, sf_dir))):
+        raise RuntimeError(f"refused: {code.name}")
+    return c
+
+
+@query("""WITH b AS (SELECT vec_id AS seq, CASE WHEN vec_id % 50 = 12 THEN vec_id - 1 ELSE vec_id END AS id, CASE WHEN vec_id % 50 = 5 THEN 63 ELSE 64 END AS dim FROM embeddings)
+SELECT seq, id, (CASE WHEN dim <> 64 THEN 1 ELSE 4 END)::INT AS code FROM b WHERE dim <> 64 OR id % 10 = 3 OR seq % 50 = 12""")
 def batch_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    batch = rows.where("id BETWEEN 95 AND 115").select(
+    batch = rows.select(
         F.col("id").alias("seq"),
-        F.when(F.col("id") == 112, F.lit(111)).otherwise(F.col("id")).alias("id"),
-        F.when(F.col("id") == 105, F.slice("vector", 1, 63)).otherwise(F.col("vector")).alias("vector"),
+        F.when(F.col("id") % 50 == 12, F.col("id") - 1).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("id") % 50 == 5, F.slice("vector", 1, 63)).otherwise(F.col("vector")).alias("vector"),
     )
-    return writes.violations(batch, rows.where("id < 100"), DIM).select("seq", "id", "code")
+    return writes.violations(batch, rows.where("id % 10 = 3"), DIM).select("seq", "id", "code")
 
 
-@query("SELECT vec_id AS id, label::VARCHAR AS metadata, 0::INT AS code FROM embeddings WHERE vec_id < 200")
+@query("SELECT vec_id AS id, label::VARCHAR AS metadata, 0::INT AS code FROM embeddings")
 def batch_insert_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    code = max(c.batch_insert(rows.where("id < 100")), c.batch_insert(rows.where("id BETWEEN 100 AND 199")))
+    code = max(c.batch_insert(rows.where("id % 2 = 0")), c.batch_insert(rows.where("id % 2 <> 0")))
     return c.records().select("id", "metadata", F.lit(int(code)).alias("code"))
 
 
 @query("SELECT 4::INT AS code, 0::BIGINT AS n")
 def batch_dup_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = _records(vectors(spark, sf_dir)).where("id < 20"), _collection(spark)
+    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
     return spark.createDataFrame([(int(c.batch_insert(rows.unionByName(rows.where("id = 3")))), c.size())], "code int, n long")
 
 
-@query("SELECT 4::INT AS code, 50::BIGINT AS n")
+@query("SELECT 4::INT AS code, count(*)::BIGINT AS n FROM embeddings WHERE vec_id % 2 = 0")
 def batch_dup_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    c.batch_insert(rows.where("id < 50"))
-    return spark.createDataFrame([(int(c.batch_insert(rows.where("id BETWEEN 49 AND 60"))), c.size())], "code int, n long")
+    c.batch_insert(rows.where("id % 2 = 0"))
+    return spark.createDataFrame([(int(c.batch_insert(rows.where("id % 2 = 1 OR id = 8"))), c.size())], "code int, n long")
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id < 100 AND vec_id % 3 <> 0")
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0")
 def remove_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    c.batch_insert(rows.where("id < 100"))
-    c.remove_many(spark.range(0, 300, 3))
+    c = _filled(spark, sf_dir)
+    c.remove_many(vectors(spark, sf_dir).where("id % 3 = 0").select("id"))
     return c.records().select("id")
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id < 50 THEN label::VARCHAR ELSE 'new' END AS metadata FROM embeddings WHERE vec_id < 150")
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label::VARCHAR ELSE 'new' END AS metadata FROM embeddings")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    c.batch_insert(rows.where("id < 100"))
-    c.upsert(rows.where("id BETWEEN 50 AND 149").withColumn("metadata", F.lit("new")))
+    c.batch_insert(rows.where("id % 3 <> 1"))
+    c.upsert(rows.where("id % 3 <> 0").withColumn("metadata", F.lit("new")))
     return c.records().select("id", "metadata")
 
 
@@ -459,14 +465,10 @@ def build_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS last, max(event_id) AS seq FROM events GROUP BY 1)
 SELECT id, src FROM (
-  SELECT vec_id AS id, -1::BIGINT AS src FROM embeddings WHERE vec_id < 200 AND vec_id NOT IN (SELECT id FROM l)
+  SELECT vec_id AS id, -1::BIGINT AS src FROM embeddings WHERE vec_id NOT IN (SELECT id FROM l)
   UNION ALL SELECT id, seq FROM l WHERE last <> 'error')""")
 def writelog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = vectors(spark, sf_dir).where("id < 200").select("id", F.lit(-1).cast("long").alias("src"))
-    return _replayed(spark, sf_dir, current)
-
-
-def _replayed(spark: SparkSession, sf_dir: str, current: DataFrame) -> DataFrame:
+    current = vectors(spark, sf_dir).select("id", F.lit(-1).cast("long").alias("src"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     log = events.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("insert").alias("op"), F.col("user_id").alias("id"), F.col("event_id").alias("src"))
     return writes.replay(current, log)
@@ -474,8 +476,7 @@ def _replayed(spark: SparkSession, sf_dir: str, current: DataFrame) -> DataFrame
 
 @query("SELECT vec_id AS id, label::VARCHAR AS metadata, len(embedding)::INT AS dim FROM embeddings")
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecspark-")
-    path = f"{shared.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/saved-{uuid.uuid4().hex}"
     a, b = (_collection(spark, data_path=path) for _ in range(2))
     a.batch_insert(_records(vectors(spark, sf_dir)))
     if a.save() or b.load():
@@ -486,40 +487,45 @@ def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Quality and statistics -------------------------------------------------------------------------------
 
 
-@query(f"{sql_probed(2, 20, 10)} SELECT t.query_id, round(count(f.id) / 10.0, 6)::DOUBLE AS recall FROM t LEFT JOIN f USING (query_id, id) GROUP BY 1")
+@query(f"{sql_probed(2, 10)} SELECT t.query_id, round(count(f.id) / 10.0, 6)::DOUBLE AS recall FROM t LEFT JOIN f USING (query_id, id) GROUP BY 1")
 def recall_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c = _lists(rows)
-    found, truth = ivf.search_batch(lists, c, asked(rows, 20), 10, 2, L2), knn.knn_batch(rows, asked(rows, 20), 10, L2)
+    found, truth = ivf.search_batch(lists, c, asked(rows), 10, 2, L2), knn.knn_batch(rows, asked(rows), 10, L2)
     return evaluate.recall(found, truth, 10).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"{sql_probed(2, 20, 10)} SELECT t.rank, round(avg(CASE WHEN t.id = f.id THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.rank = t.rank GROUP BY 1")
+@query(f"{sql_probed(2, 10)} SELECT t.rank, round(avg(CASE WHEN t.id = f.id THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.rank = t.rank GROUP BY 1")
 def rank_match_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c = _lists(rows)
-    found, truth = ivf.search_batch(lists, c, asked(rows, 20), 10, 2, L2), knn.knn_batch(rows, asked(rows, 20), 10, L2)
+    found, truth = ivf.search_batch(lists, c, asked(rows), 10, 2, L2), knn.knn_batch(rows, asked(rows), 10, L2)
     return evaluate.rank_match(found, truth).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT true AS monotone")
-def recall_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weaker than values: says only that our own check passed."""
+def _sql_recall(n_probe: int) -> str:
+    return f"SELECT {n_probe}::INT AS n_probe, query_id, recall FROM ({sql_probed(n_probe, 10)} SELECT t.query_id, round(count(f.id) / 10.0, 6)::DOUBLE AS recall FROM t LEFT JOIN f USING (query_id, id) GROUP BY 1)"
+
+
+@query(" UNION ALL ".join(map(_sql_recall, (1, 4, 8))))
+def recall_by_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c = _lists(rows)
-    truth = knn.knn_batch(rows, asked(rows, 20), 10, L2)
-    means = [evaluate.recall(ivf.search_batch(lists, c, asked(rows, 20), 10, n, L2), truth, 10).agg(F.avg("recall")).first()[0] for n in (1, 4, 8)]
-    return spark.createDataFrame([(means == sorted(means) and means[-1] == 1.0,)], "monotone boolean")
+    truth = knn.knn_batch(rows, asked(rows), 10, L2)
+    parts = [evaluate.recall(ivf.search_batch(lists, c, asked(rows), 10, n, L2), truth, 10).select(F.lit(n).alias("n_probe"), "query_id", F.round("recall", 6).alias("recall")) for n in (1, 4, 8)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("SELECT count(*)::BIGINT AS n, (count(*) * (8 + 4 * 64) + 32 * count(*))::BIGINT AS bytes FROM embeddings")
 def stats_flat_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * (8 + 4 * DIM) + 32 * F.col("n"))
+    s = _filled(spark, sf_dir).stats()
+    return spark.createDataFrame([(s.vector_count, s.index_memory_bytes)], "n long, bytes long")
 
 
 @query("SELECT count(*)::BIGINT AS n, (8 * 64 * 4 + count(*) * (8 + 64 * 4) + 16 * count(*))::BIGINT AS bytes FROM embeddings")
 def stats_ivf_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).agg(F.count("*").alias("n")).withColumn("bytes", F.lit(8 * DIM * 4) + F.col("n") * (8 + DIM * 4) + 16 * F.col("n"))
+    s = _filled(spark, sf_dir, IndexType.IVF, ivf_params=IVFParams(n_clusters=8)).stats()
+    return spark.createDataFrame([(s.vector_count, s.index_memory_bytes)], "n long, bytes long")
 
 
 @query("SELECT count(*)::BIGINT AS vector_count, 64::BIGINT AS dimension, 1::BIGINT AS total_queries, count(*)::BIGINT AS total_inserts FROM embeddings")
@@ -534,26 +540,19 @@ def stats_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Graphs -----------------------------------------------------------------------------------------------
 
-#: Three layers by id, and the four nearest of each of the first 200 vectors, both ways.
-NODES = f"{E}, node AS (SELECT id, v, (CASE WHEN id % 50 = 7 THEN 2 WHEN id % 10 = 7 THEN 1 ELSE 0 END)::INT AS max_layer FROM e WHERE id < 200)"
+#: Three layers by id, and the four nearest of each vector, both ways.
+NODES = f"{E}, node AS (SELECT id, v, (CASE WHEN id % 50 = 7 THEN 2 WHEN id % 10 = 7 THEN 1 ELSE 0 END)::INT AS max_layer FROM e)"
 NEAR = f"""{NODES}, near AS (SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {sql_distance("a.v", "b.v", L2)}, b.id) AS n FROM node a, node b WHERE a.id <> b.id) WHERE n <= 4),
 sym AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near)"""
 
 
-def _all_nodes(rows: DataFrame) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
     layer = F.when(F.col("id") % 50 == 7, 2).when(F.col("id") % 10 == 7, 1).otherwise(0)
     return rows.select(F.lit(0).alias("shard"), "id", "vector", layer.alias("max_layer"))
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    return _all_nodes(rows.where("id < 200"))
-
-
 def _near(rows: DataFrame) -> DataFrame:
-    return _near_of(_nodes(rows))
-
-
-def _near_of(nodes: DataFrame) -> DataFrame:
+    nodes = _nodes(rows)
     found = knn.knn_batch(nodes, nodes.select(F.col("id").alias("query_id"), "vector"), 5, L2).where("query_id <> id").drop("rank")
     return knn.top_k(found, 4).select(F.lit(0).alias("shard"), F.lit(0).alias("layer"), F.col("query_id").alias("src"), F.col("id").alias("dst"))
 
@@ -576,13 +575,13 @@ def hnsw_degree_cap_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{NEAR} SELECT src, dst FROM sym WHERE src % 10 <> 7 AND dst % 10 <> 7")
 def hnsw_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return hnsw.remove(_nodes(rows), hnsw.symmetric(_near(rows)), spark.range(7, 1000, 10))[1].select("src", "dst")
+    return hnsw.remove(_nodes(rows), hnsw.symmetric(_near(rows)), rows.where("id % 10 = 7").select("id"))[1].select("src", "dst")
 
 
-@query(f"{NEAR} SELECT src, dst FROM sym WHERE src >= 50 AND dst >= 50")
+@query(f"{NEAR} SELECT src, dst FROM sym WHERE src % 4 <> 0 AND dst % 4 <> 0")
 def hnsw_compact_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return hnsw.compact(_nodes(rows).where("id >= 50"), hnsw.symmetric(_near(rows))).select("src", "dst")
+    return hnsw.compact(_nodes(rows).where("id % 4 <> 0"), hnsw.symmetric(_near(rows))).select("src", "dst")
 
 
 @query(f"{NODES} SELECT id, max_layer AS layer FROM node WHERE id NOT IN (7, 57) ORDER BY max_layer DESC, id LIMIT 1")
@@ -602,62 +601,110 @@ def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hnsw_heuristic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.build(vectors(spark, sf_dir), L2, HNSWParams(m=8, ef_construction=64))[1]
+    return hnsw.edge_table(hnsw.build_shards(vectors(spark, sf_dir), L2, HNSWParams(m=8, ef_construction=64)))
 
 
 @query()
 def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    nodes, edges, _ = hnsw.build(rows, L2)
-    return rounded(hnsw.search_batch(nodes, edges, asked_all(rows), 10, 50, L2))
+    return rounded(hnsw.search_shards(hnsw.build_shards(rows, L2), asked(rows), 10, 50, L2))
+
+
+@query(sql_batch(L2, 10))
+def hnsw_search_wide_eq_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A beam as wide as the table walks whole graphs, in several shards."""
+    rows = vectors(spark, sf_dir)
+    shards = hnsw.build_shards(rows, L2, HNSWParams(m=8, ef_construction=32), shard_rows=150)
+    return rounded(hnsw.search_shards(shards, asked(rows), 10, rows.count(), L2))
+
+
+@query(sql_batch(L2, 10, "e.id % 5 <> 2"))
+def hnsw_update_wide_eq_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on stored graphs that took in two thirds of the rows and gave away a fifth."""
+    rows = vectors(spark, sf_dir)
+    shards = hnsw.build_shards(rows.where("id % 3 = 0"), L2, HNSWParams(m=8, ef_construction=32), shard_rows=150)
+    shards = hnsw.update(shards, rows.where("id % 3 <> 0"), rows.where("id % 3 = 0 AND id % 5 = 2").select("id"), L2, HNSWParams(m=8, ef_construction=32))
+    shards = hnsw.update(shards, rows.where("false"), rows.where("id % 5 = 2").select("id"), L2, HNSWParams(m=8, ef_construction=32))
+    return rounded(hnsw.search_shards(shards, asked(rows), 10, rows.count(), L2))
+
+
+@query(sql_batch(L2, 10))
+def hnsw_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = vectors(spark, sf_dir), f"{scratch(spark)}/saved-{uuid.uuid4().hex}"
+    a, b = (_collection(spark, IndexType.HNSW, data_path=path) for _ in range(2))
+    a.batch_insert(_records(rows))
+    if a.save() or b.load():
+        raise RuntimeError("round trip failed")
+    return rounded(b.search_batch(asked(rows), 10, SearchParams(ef_search=rows.count())))
 
 
 @query("SELECT true AS good")
 def hnsw_recall_ge_90(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weaker than values: says only that our own check passed."""
     rows = vectors(spark, sf_dir)
-    nodes, edges, _ = hnsw.build(rows, L2)
-    found, truth = hnsw.search_batch(nodes, edges, asked_all(rows), 10, 50, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
+    found, truth = hnsw.search_shards(hnsw.build_shards(rows, L2), asked(rows), 10, 50, L2), knn.knn_batch(rows, asked(rows), 10, L2)
     return spark.createDataFrame([(evaluate.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9,)], "good boolean")
 
 
-@query("SELECT true AS parity")
+@query("SELECT i::INT AS index_type, m::INT AS metric, vec_id AS id FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS m), embeddings WHERE vec_id = 0")
 def index_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each index finds a stored vector itself first, under each metric on unit vectors. Weaker than
-    values: says only that our own check passed."""
+    """Each index finds a stored vector itself first, under each metric on unit vectors."""
     rows = _records(vectors(spark, sf_dir))
-    q = first_vector(rows)
-    good = True
+    q, out = first_vector(rows), []
     for index in IndexType:
         for metric in DistanceMetric:
             c = _collection(spark, index, distance_metric=metric, ivf_params=IVFParams(n_clusters=8))
             c.batch_insert(rows)
-            good &= c.search(q, 5, SearchParams(n_probe=4)).items[0][0] == 0
-    return spark.createDataFrame([(bool(good),)], "parity boolean")
+            out.append((int(index), int(metric), c.search(q, 5, SearchParams(n_probe=4)).items[0][0]))
+    return spark.createDataFrame(out, "index_type int, metric int, id long")
 
 
-# Whole tables -----------------------------------------------------------------------------------------
-# The queries above whose SQL is held to some ids, over all rows and with every hundredth id as a query.
+# Lists of a collection --------------------------------------------------------------------------------
 
 
-def sql_batch_all(metric: int, k: int, where: str = "true") -> str:
-    return f"""{S} SELECT query_id, id, round(d, 6) AS distance, rank FROM (
-SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::BIGINT AS rank
-FROM (SELECT q.id AS query_id, e.id, {sql_distance("e.v", "q.v", metric)} AS d FROM e, e q WHERE q.id % 100 = 0 AND {where})) WHERE rank <= {k}"""
+def _given(spark: SparkSession, rows: DataFrame, **kw) -> Collection:
+    """A collection with the first eight vectors as given centroids."""
+    c = _collection(spark, IndexType.IVF, **kw)
+    c.set_centroids(centroids_of(rows))
+    return c
 
 
-def _batch_all(name: str, metric: int, k: int, where: str | None = None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = scaled(vectors(spark, sf_dir))
-        return rounded(knn.knn_batch(rows, asked_all(rows), k, metric, None if where is None else F.expr(where)))
+@query(f"{sql_probed(3, 10)} SELECT query_id, id, round(d, 6) AS distance, rank FROM f")
+def ivf_set_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given centroids stay, whatever is inserted in how many writes."""
+    rows = vectors(spark, sf_dir)
+    c = _given(spark, rows)
+    for k in range(2):
+        c.batch_insert(_records(rows).where(F.col("id") % 2 == k))
+        c.search(first_vector(rows), 1)
+    return rounded(c.search_batch(asked(rows), 10, SearchParams(n_probe=3)))
+
+
+@query(f"""{sql_probed(8, 10).replace("JOIN e ON e.id = a.id)", "JOIN e ON e.id = a.id WHERE e.id % 4 <> 1)")} SELECT query_id, id, round(d, 6) AS distance, rank FROM f""")
+def ivf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that got a part by each write, lost rows, and were compacted and saved and loaded."""
+    rows, path = _records(vectors(spark, sf_dir)), f"{scratch(spark)}/saved-{uuid.uuid4().hex}"
+    c = _given(spark, rows, data_path=path)
+    for k in range(3):
+        c.batch_insert(rows.where(F.col("id") % 3 == k))
+        c.search(first_vector(rows), 1)
+    c.remove_many(rows.where("id % 4 = 1").select("id"))
+    c.upsert(rows.where("id % 4 = 2"))
+    other = _collection(spark, IndexType.IVF, data_path=path)
+    if c.compact() or c.save() or other.load():
+        raise RuntimeError("round trip failed")
+    return rounded(other.search_batch(asked(rows), 10, SearchParams(n_probe=8)))
 
-    run.__name__ = name
-    query(sql_batch_all(metric, k, "true" if where is None else f"e.{where}"))(run)
+
+@query(f"{sql_probed(2, 10)} SELECT query_id, id, round(d, 6) AS distance, rank FROM f")
+def ivf_filter_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    c = _given(spark, rows)
+    c.batch_insert(_records(rows))
+    return rounded(c.search_batch(asked(rows), 10, SearchParams(n_probe=2, filter=F.col("id") < 0, compat_ignore_filter=True)))
 
 
-_batch_all("knn_batch_all", L2, 10)
-_batch_all("knn_batch_cosine_all", COSINE, 5)
-_batch_all("knn_batch_dot_filtered_all", DOT, 5, "label < 5")
+# Trained lists, whose centroids SQL doesn't know -------------------------------------------------------
 
 
 def _trained(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
@@ -671,14 +718,14 @@ def _trained(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
 def ivf_search_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c, n = _trained(rows)
-    return rounded(ivf.search_batch(lists, c, asked_all(rows), 10, n, L2))
+    return rounded(ivf.search_batch(lists, c, asked(rows), 10, n, L2))
 
 
 @query()
 def recall_ivf_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c, n = _trained(rows)
-    found, truth = ivf.search_batch(lists, c, asked_all(rows), 10, n, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
+    found, truth = ivf.search_batch(lists, c, asked(rows), 10, n, L2), knn.knn_batch(rows, asked(rows), 10, L2)
     return evaluate.recall(found, truth, 10).withColumn("recall", F.round("recall", 6))
 
 
@@ -686,62 +733,10 @@ def recall_ivf_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_match_ivf_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     lists, c, n = _trained(rows)
-    found, truth = ivf.search_batch(lists, c, asked_all(rows), 10, n, L2), knn.knn_batch(rows, asked_all(rows), 10, L2)
+    found, truth = ivf.search_batch(lists, c, asked(rows), 10, n, L2), knn.knn_batch(rows, asked(rows), 10, L2)
     return evaluate.rank_match(found, truth).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT vec_id AS id, label::VARCHAR AS metadata, 0::INT AS code FROM embeddings")
-def batch_insert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    code = max(c.batch_insert(rows.where("id % 2 = 0")), c.batch_insert(rows.where("id % 2 <> 0")))
-    return c.records().select("id", "metadata", F.lit(int(code)).alias("code"))
-
-
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0")
-def remove_many_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    c.batch_insert(rows)
-    c.remove_many(rows.where("id % 3 = 0").select("id"))
-    return c.records().select("id")
-
-
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label::VARCHAR ELSE 'new' END AS metadata FROM embeddings")
-def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = _records(vectors(spark, sf_dir)), _collection(spark)
-    c.batch_insert(rows.where("id % 3 <> 1"))
-    c.upsert(rows.where("id % 3 <> 0").withColumn("metadata", F.lit("new")))
-    return c.records().select("id", "metadata")
-
-
-@query("""WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS last, max(event_id) AS seq FROM events GROUP BY 1)
-SELECT id, src FROM (
-  SELECT vec_id AS id, -1::BIGINT AS src FROM embeddings WHERE vec_id NOT IN (SELECT id FROM l)
-  UNION ALL SELECT id, seq FROM l WHERE last <> 'error')""")
-def writelog_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = vectors(spark, sf_dir).select("id", F.lit(-1).cast("long").alias("src"))
-    return _replayed(spark, sf_dir, current)
-
-
-def _graph_all(name: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Without SQL, which would compare all pairs."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = _all_nodes(vectors(spark, sf_dir))
-        return build(nodes, _near_of(nodes))
-
-    run.__name__ = name
-    query()(run)
-
-
-_graph_all("hnsw_layer0_candidates_all", lambda nodes, near: near.select("src", "dst"))
-_graph_all("hnsw_edges_symmetric_all", lambda nodes, near: hnsw.symmetric(near).select("src", "dst"))
-_graph_all("hnsw_degree_cap_violations_all", lambda nodes, near: hnsw.over_full(hnsw.symmetric(near), 4))
-_graph_all("hnsw_remove_all", lambda nodes, near: hnsw.remove(nodes, hnsw.symmetric(near), nodes.where("id % 10 = 7").select("id"))[1].select("src", "dst"))
-_graph_all("hnsw_compact_dangling_all", lambda nodes, near: hnsw.compact(nodes.where("id % 4 <> 0"), hnsw.symmetric(near)).select("src", "dst"))
-_graph_all("hnsw_entry_reelect_all", lambda nodes, near: hnsw.entry_point(nodes.where("id NOT IN (7, 57)")))
-_graph_all("hnsw_neighbours_all", lambda nodes, near: hnsw.neighbours(hnsw.symmetric(near), 11))
-
-
 # Sources and streams ----------------------------------------------------------------------------------
 
 
@@ -757,9 +752,11 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT vec_id AS id, 1::BIGINT AS inserts FROM embeddings WHERE vec_id < 3")
+@query("SELECT vec_id AS id, 1::BIGINT AS centroids FROM embeddings")
 def single_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _collection(spark, IndexType.IVF)
-    for r in vectors(spark, sf_dir).where("id < 3").collect():
-        c.insert(VectorRecord(r.id, tuple(r.vector)))
-    return c.records().select("id", F.lit(len(c.centroids)).cast("long").alias("inserts"))
+    """The first vector is the only centroid; the others come after it, some one by one."""
+    rows, c = _records(vectors(spark, sf_dir)), _collection(spark, IndexType.IVF)
+    for r in rows.where("id < 3").orderBy("id").collect():
+        c.insert(VectorRecord(r.id, tuple(r.vector), r.metadata))
+    c.batch_insert(rows.where("id >= 3"))
+    return c.records().select("id", F.lit(len(c.centroids)).cast("long").alias("centroids"))
