@@ -18,8 +18,8 @@ With 24 bands of 4 minima a pair at similarity 0.8 shares no band once in 300,00
 
 Defined cases: NULL and empty texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole word sequence as one shingle; rows that repeat a text are one
-class; where rows share an id but not their words, one set of them, the same on every run, takes
-part in links and the others are linked with nothing; a NULL id never names a component unless all rows of a class have none; an empty table gives
+class; rows that share an id but not their words are different texts with one name, each linked for
+itself; a NULL id never names a component unless all rows of a class have none; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -170,7 +170,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, params: Params) -> D
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
-    """(rep, set) of the wanted representatives (rep, cls)."""
+    """(rep, set) of the wanted representatives (rep, doc, cls)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hasher(params)
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, params
             yield out[same]
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = source.join(wanted, F.col("id") == F.col("rep")).select("rep", "cls", "text")
+    rows = source.join(wanted, F.col("id") == F.col("doc")).select("rep", "cls", "text")
     return rows.mapInPandas(run, "rep long, set array<long>").dropDuplicates(["rep"])
 
 
@@ -214,17 +214,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     p = params or Params()
     sig = materialize(signatures(docs, id_col, text_col, p))
     classes = sig.where("n > 0 AND id IS NOT NULL").groupBy("cls")
-    reps = materialize(classes.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-
-    if reps.count() != reps.select("rep").distinct().count():  # rows that share an id but not their words
-        reps = materialize(reps.groupBy("rep").agg(F.min_by(F.struct("cls", "n", "bands", "sig"), "cls").alias("r")).select("rep", "r.*"))
+    reps = materialize(classes.agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+
+    # A class goes by its smallest id; where rows share that but not their words, all but one of
+    # their classes go by a hash instead.
+    named = reps.groupBy("doc").agg(F.min("cls").alias("first"), F.count("*").alias("m"))
+    doubled = named.where("m > 1").limit(1).count() > 0
+    if doubled:
+        reps = reps.join(named.select("doc", "first"), "doc").withColumn("rep", F.when(F.col("cls") == F.col("first"), F.col("doc")).otherwise(F.xxhash64("cls"))).drop("first")
+        reps = materialize(reps)
+    else:
+        reps = reps.withColumn("rep", F.col("doc"))
 
     # Buckets of several classes; rows of others end here.
     rows = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
     least = rows.groupBy("band", "hash").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
     buckets = materialize(rows.join(least, ["band", "hash"]))
     facts = reps.select("rep", "n", "sig")
-    wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "cls")
+    wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc", "cls")
     sets = materialize(_sets(docs, wanted, id_col, text_col, p))
 
     def allowed(edges: DataFrame) -> DataFrame:
@@ -265,8 +272,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     second = components(found)
 
     final = first.select("id", F.col("component").alias("c1"))
-    final = reps.select("cls", F.col("rep").alias("id")).join(final, "id", "left").withColumn("c1", F.coalesce("c1", "id"))
-    final = final.join(second.select(F.col("id").alias("c1"), "component"), "c1", "left").select("cls", F.coalesce("component", "c1").alias("component_id"))
+    final = reps.select("cls", "doc", F.col("rep").alias("id")).join(final, "id", "left").withColumn("c1", F.coalesce("c1", "id"))
+    final = final.join(second.select(F.col("id").alias("c1"), "component"), "c1", "left").select("cls", "doc", F.coalesce("component", "c1").alias("component_id"))
+    if doubled:  # hashes name no component
+        least = final.groupBy("component_id").agg(F.min("doc").alias("least"))
+        final = final.join(least, "component_id").select("cls", F.col("least").alias("component_id"))
+    final = final.select("cls", "component_id")
     out = sig.select("id", "n", "cls").join(final, "cls", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
