@@ -179,7 +179,7 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.link(frame(spark, [])).count() == 0
     shared = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l")]
     first, second = (sorted((r.doc_id, r.component_id) for r in minhash.link(frame(spark, shared).repartition(n)).collect()) for n in (1, 3))
-    assert first == second and len(first) == 4
+    assert first == second == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
 def test_estimate_is_corrected_for_chance(spark):
@@ -296,6 +296,64 @@ def test_lines_of_one_value_are_connected_by_any_member(spark):
     assert gone == {10 * i + 1000 + j for i in range(12) for j in (1, 2)}
 
 
+def edit_distance(a, b, most):
+    """At most ``most``, or most + 1."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = np.arange(len(b) + 1)
+    codes_, step = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
+    for i, c in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes_ != ord(c)))
+        row = np.minimum.accumulate(np.concatenate([[i], new]) - step) + step
+    return min(int(row[-1]), most + 1)
+
+
+def test_lines_equal_all_pairs(spark):
+    """Every group of lines that edit similarity connects, over all pairs, keeps its first line."""
+    rng = random.Random(40)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(80):
+        base = [word() for _ in range(rng.choice((3, 6, 12, 30, 70)))]
+        rows.append(" ".join(base))
+        for _ in range(rng.randint(0, 5)):  # chains: each from the one before
+            for _ in range(max(1, len(base) // rng.choice((8, 12, 20)))):
+                at = rng.randrange(len(base))
+                rng.choice((lambda at=at: base.__setitem__(at, word()), lambda at=at: base.insert(at, word()), lambda at=at: base.pop(at) if len(base) > 2 else None, lambda at=at: base.__setitem__(at, base[at] + "s")))()
+            rows.append(" ".join(base))
+    for i in range(6):  # equal bags of words: near to the next, far from the one after it
+        r = [word() for _ in range(50)]
+        h = r[4:25] + r[:4] + r[25:]
+        rows += [" ".join(x) for x in (r, h, h[4:40] + h[:4] + h[40:])]
+    rng.shuffle(rows)
+    assert len(rows) >= 250
+    allowed = lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+    group, pairs = list(range(len(rows))), []
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i] == rows[j] or edit_distance(rows[i], rows[j], m := allowed(rows[i], rows[j])) <= m:
+                pairs.append((j, i))
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    want = {i for i in range(len(rows)) if find(i) != i}
+    got = {r.doc_id for r in line_dedup.drops(frame(spark, list(enumerate(rows)))).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 100, (len(got), len(want))
+
+
+def test_edit_bound_is_never_below_the_distance(spark):
+    rng = random.Random(41)
+    rows = []
+    for _ in range(300):
+        x = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) + " " for _ in range(rng.randint(0, 30))]
+        y = [w for w in x if rng.random() > 0.1] + ["b "] * rng.randint(0, 1)
+        rows.append((x, y[:10] + ["aa "] * rng.randint(0, 8) + y[10:]))
+    rows.append((["a ", "b "] * 20, ["a ", "b "] * 20))
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>")
+    bound = df.select(line_dedup._walk().alias("w"), F.levenshtein(F.array_join("x", ""), F.array_join("y", "")).alias("d")).collect()
+    assert all(r.w >= r.d for r in bound) and bound[-1].w == 0 and np.mean([r.w == r.d for r in bound]) > 0.3
+
+
 def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
     import corpus_pipeline
     from vecspark.llm import queries
@@ -588,6 +646,58 @@ def test_number_signs_are_no_letters(sign):
     assert language_id.has_letter(sign + "é") and not np.isnan(language_id.pooled(net, [sign + "é"], language_id.Params())).any()
 
 
+def test_language_equals_a_plain_forward_pass():
+    """Byte by byte, without batches or padding."""
+    p = language_id.Params(hidden=5, segment=16, width=7)
+    net = language_id.Network(5, 3, 2)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    texts = ["Ab", "wörter und mehr " * 5, "x" * 16, "é" * 40, None, "12", "日本語の text"]
+    for t, got in zip(texts, language_id.pooled(net, texts, p), strict=True):
+        data = (t or "").lower().encode()
+        if not language_id.has_letter(t):
+            assert np.isnan(got).all()
+            continue
+        total = []
+        for s in range(0, len(data), 16):
+            part, states = data[s : s + 16].ljust(16, b"\0"), {}
+            for d, order in (("f", range(16)), ("b", range(15, -1, -1))):
+                state = np.zeros(5)
+                for i in order:
+                    a, g = net.w[f"in_{d}"][part[i]], net.w[f"rec_{d}"] @ state
+                    z, r = sig(a[:5] + g[:5]), sig(a[5:10] + g[5:10])
+                    state = (1 - z) * np.tanh(a[10:] + r * g[10:]) + z * state
+                    states[d, i] = state
+            for i in range(len(data[s : s + 16])):
+                e = np.exp(net.w["out_f"] @ states["f", i] + net.w["out_b"] @ states["b", i] + net.w["bias"][:, 0])
+                total.append(e / e.sum())
+        assert got == pytest.approx(np.mean(total, axis=0), abs=1e-4)
+
+
+def test_toxicity_equals_a_plain_forward_pass():
+    p = toxicity.Params(bucket_bits=10, window=2)
+    model = toxicity.Model(p, np.random.default_rng(3).normal(size=1 << 10), -0.3)
+    texts = ["one two three four", "solo", "", None, "a " * 50 + "b@d w0rd"]
+    value = {w: float(model.word_values([w])[0]) for t in texts for w in toxicity.words(t)}
+    for w, v in value.items():
+        found, n = toxicity.subwords([w], p)
+        assert n[0] == len(found) and v == pytest.approx(np.mean(model.values[found]))
+    for t, got in zip(texts, toxicity.Scorer(model)(texts), strict=True):
+        own = [value[w] for w in toxicity.words(t)]
+        bags = [np.mean(own[i : i + 2]) for i in range(max(1, len(own) - 1))] if own else [0.0]
+        assert got == pytest.approx(1 / (1 + np.exp(-(max(bags) - 0.3))))
+
+
+def test_toxicity_of_long_clean_texts(spark):
+    """The pooling takes a maximum; clean held-out texts of any length stay below a half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", F.size(F.split("text", " ")).alias("n")), "doc_id")
+    clean = out.where("held_out AND toxic = 0").select("score", "n").toPandas()
+    toxic = out.where("held_out AND toxic = 1").select("predicted").toPandas()
+    long, short = clean[clean["n"] > clean["n"].median()], clean[clean["n"] <= clean["n"].median()]
+    assert len(long) > 20 and (long["score"] >= 0.5).mean() <= (short["score"] >= 0.5).mean() + 0.05 <= 0.1
+    assert toxic["predicted"].mean() > 0.9
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(15)
     bad = ["filthoid", "scumbrag", "wretchov", "nastelop"]

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vecspark.llm import queries
@@ -53,3 +54,54 @@ def test_pipeline_decides_rows_without_ids_for_themselves(spark, tmp_path):
     assert {r.text for r in left.where("text = 'clean words only'").collect()} == {"clean words only"}
     clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if "bench" not in t)
+
+
+CLASHING = ["id", "h", "t", "line", "norm", "key", "__key", "__id", "__dropped", "dropped_lines", "n_lines", "__lang_pred", "__score", "kept", "spans", "start", "held_out", "rep", "cls"]
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    """Empty tables, one very long text, and columns that are named like the stages' own."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = table(spark, sf_dir, "documents").where("doc_id < 40")
+    long = " ".join(f"word{i % 5000}" for i in range(120_000)) + "\nlast line"
+    docs = few.unionByName(spark.createDataFrame([(9000, long, "en", "s", len(long)), (9001, None, "en", "s", 0)], few.schema))
+    docs = docs.select("*", *(F.lit(f"{c} stays").alias(c) for c in CLASHING)).cache()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)).cache(), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns == none.columns
+            assert all(r[c] == f"{c} stays" for r in out.select(*CLASHING).distinct().collect() for c in CLASHING)
+            kept = out.where("doc_id = 9000").first()
+            assert kept.text == long and kept.n_chars == len(long)
+            docs = out
+    pieces = out.where("doc_id = 9000").orderBy("start").collect()
+    assert pieces[0].start == 0 and sum(r.length for r in pieces) == pieces[0].doc_tokens == sum(len(r.ids) for r in pieces)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """A small corpus whose right result is plain: each stage has something to take away."""
+    name = lambda n, k: " ".join(f"{n}word{i}" for i in range(k))
+    spark.createDataFrame([(1, name("bench", 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    footer = "this footer stands below every single page of the site"
+    rows = [
+        (1, f"{name('a', 40)}\n{footer}", f"{name('a', 40)}\n{footer}"),
+        (2, f"{name('b', 40)}\n{footer}", name("b", 40)),
+        (3, f"{name('c', 30)}\n{footer.replace('single', 'singel')}", name("c", 30)),
+        (4, "12 34 ½", None),  # no language
+        (5, footer, None),  # nothing but a repeated line
+        (6, f"x {name('d', 60)}\ny {name('e', 60)}", f"x {name('d', 60)}\ny {name('e', 60)}"),
+        (7, f"y {name('e', 30)} {name('f', 30)}", f"y {name('e', 30)} {name('f', 30)}"),  # half of a line is no copy
+        (8, f"{name('g', 10)} {name('bench', 20)}", None),  # contaminated
+        (9, f"{name('g', 90)} {name('k', 90)} {name('m', 90)} bench", f"{name('g', 90)} {name('k', 90)} {name('m', 90)} bench"),
+        (10, None, None),
+    ]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    from vecspark.llm.tokens import byte_bpe_encoder
+
+    encode, got = byte_bpe_encoder(), {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        assert r.start == len(got.get(r.doc_id, [])) and r.length == len(r.ids)
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: [*encode(t).tolist(), 0] for i, _, t in rows if t is not None}
