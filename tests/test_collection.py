@@ -138,3 +138,172 @@ def test_stream_ingestion(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/out").orderBy("rank").collect()] == [5, 6]
     events = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 2.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 3.0D")
     assert event_rates(events).first()[1:] == ("a", 2, 5.0)
+
+
+def test_given_centroids_stay(spark):
+    c = make(spark, IndexType.IVF, ivf_params=IVFParams(n_clusters=2, n_probe=1))
+    given = np.array([[0.0, 0.0], [10.0, 10.0]])
+    assert c.set_centroids(given) == ErrorCode.OK
+    assert c.batch_insert([rec(i, 1 + i, 1) for i in range(10)]) == ErrorCode.OK
+    assert np.array_equal(c.centroids, given) and [i for i, _ in c.search([9.0, 9.0], 1).items] == [9]
+    assert c.retrain() == ErrorCode.OK and not np.array_equal(c.centroids, given)
+
+
+@pytest.mark.parametrize("index", [IndexType.IVF, IndexType.HNSW])
+def test_indexes_follow_writes_without_being_built_anew(spark, index, monkeypatch):
+    from vecspark.operators import hnsw
+    from vecspark.plans import collection
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (200, 4))
+    c = make(spark, index, dim=4, ivf_params=IVFParams(n_clusters=3, n_probe=3), hnsw_params=HNSWParams(m=4, ef_construction=20, ef_search=400))
+    assert c.batch_insert([rec(i, *x[i]) for i in range(150)]) == ErrorCode.OK
+    near = lambda q, ids: sorted(ids, key=lambda i: (np.linalg.norm(np.float32(x[i]) - np.float32(q)), i))[:5]
+    assert [i for i, _ in c.search(x[3].tolist(), 5).items] == near(x[3], range(150))
+    sizes = []
+    if index == IndexType.HNSW:
+        monkeypatch.setattr(hnsw, "build_shards", None)  # would fail
+    else:
+        monkeypatch.setattr(collection, "assign", lambda rows, *a, was=collection.assign: (sizes.append(rows.count()), was(rows, *a))[1])
+    assert c.batch_insert([rec(i, *x[i]) for i in range(150, 200)]) == ErrorCode.OK
+    assert [i for i, _ in c.search(x[170].tolist(), 5).items] == near(x[170], range(200))
+    assert c.remove(170) == ErrorCode.OK and c.upsert([rec(3, *x[170])]) == ErrorCode.OK
+    x[3] = x[170]
+    left = [i for i in range(200) if i != 170]
+    assert [i for i, _ in c.search(x[3].tolist(), 5).items] == near(x[3], left)
+    assert c.compact() == ErrorCode.OK and [i for i, _ in c.search(x[3].tolist(), 5).items] == near(x[3], left)
+    assert sizes in ([], [50, 1])
+
+
+def test_saved_index_is_taken_over(spark, tmp_path, monkeypatch):
+    from vecspark.operators import hnsw, ivf
+
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, (60, 4))
+    for index in (IndexType.IVF, IndexType.HNSW):
+        kw = {"dim": 4, "data_path": f"file://{tmp_path}/{index.name}", "ivf_params": IVFParams(n_clusters=3, n_probe=3)}
+        a, b = make(spark, index, **kw), make(spark, index, **kw)
+        assert a.batch_insert([rec(i, *x[i]) for i in range(60)]) == ErrorCode.OK and a.save() == ErrorCode.OK
+        with monkeypatch.context() as m:
+            m.setattr(hnsw, "build_shards", None)
+            m.setattr(ivf, "train", None)
+            assert b.load() == ErrorCode.OK
+            assert [i for i, _ in b.search(x[9].tolist(), 5).items] == [i for i, _ in a.search(x[9].tolist(), 5).items]
+        if index == IndexType.IVF:
+            assert np.array_equal(a.centroids, b.centroids)
+
+
+def test_a_write_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from vecspark.sources.store import Files, StoreError
+
+    kw = {"data_path": f"file://{tmp_path}/c"}
+    c = make(spark, **kw)
+    c.batch_insert([rec(1, 0, 0)])
+    assert c.save() == ErrorCode.OK
+    c.batch_insert([rec(2, 1, 1)])
+    seen = c.records()
+    other = make(spark, **kw)
+    for step in ("write", "read"):  # before the manifest is there; after it, before old files go
+        with monkeypatch.context() as m:
+            m.setattr(Files, step, lambda *_: (_ for _ in ()).throw(StoreError("died")))
+            assert c.save() == ErrorCode.IO_ERROR
+            if step == "write":
+                with pytest.raises(StoreError):
+                    c.batch_insert([rec(3, 2, 2)])
+        assert other.load() == ErrorCode.OK
+        assert [r.id for r in other.all_records()] == ([1] if step == "write" else [1, 2]) or step == "read"
+        assert c.size() == 2 == c.records().count() == seen.count()
+    assert c.save() == ErrorCode.OK and other.load() == ErrorCode.OK and other.size() == 2
+    files = Files(spark, f"file://{tmp_path}/c")
+    with pytest.raises(StoreError):  # no file is replaced
+        files.write(next(n for n in files.names() if n.startswith("manifest")), "{}")
+
+
+def test_a_log_is_applied_in_one_step(spark):
+    c, log = make(spark), WriteLog(spark)
+    c.batch_insert([rec(1, 0, 0, m="a"), rec(2, 1, 1), rec(3, 2, 2)])
+    log.log_insert(4, [4.0, 4.0])
+    log.log_remove(2)
+    log.log_insert(3, [9.0, 9.0])
+    log.log_remove(77)
+    version = c._manifest.version
+    assert c.apply(log) == ErrorCode.OK and log.size() == 0 and c._manifest.version == version + 1
+    assert {r.id: r.vector for r in c.all_records()} == {1: (0.0, 0.0), 3: (9.0, 9.0), 4: (4.0, 4.0)} and c.size() == 3
+    log.log_insert(5, [1.0])
+    assert c.apply(log) == ErrorCode.DIMENSION_MISMATCH and c.size() == 3
+
+
+def test_readers_keep_their_version_beside_a_writer(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    c = make(spark)
+    c.batch_insert([rec(i, i, 0) for i in range(20)])
+
+    def read(_):
+        found = c.records()
+        n = found.count()
+        return n, found.select("id").distinct().count(), [i for i, _ in c.search([0.0, 0.0], 3).items]
+
+    def write(k):
+        return c.batch_insert([rec(100 + 10 * k + j, 100 + k, j) for j in range(10)])
+
+    with ThreadPoolExecutor(6) as pool:
+        reads, writes_ = [pool.submit(read, k) for k in range(8)], [pool.submit(write, k) for k in range(4)]
+        assert all(w.result() == ErrorCode.OK for w in writes_)
+        for r in reads:
+            n, different, found = r.result()
+            assert n == different and (n - 20) % 10 == 0 and found == [0, 1, 2]
+    assert c.size() == 60 == c.records().count() and c.stats().total_queries == 8
+
+
+def test_filter_can_be_ignored_by_lists(spark):
+    c = make(spark, IndexType.IVF, ivf_params=IVFParams(n_clusters=1, n_probe=1))
+    c.batch_insert([rec(i, i, 0) for i in range(5)])
+    found = lambda **kw: [i for i, _ in c.search([0.0, 0.0], 2, SearchParams(n_probe=1, filter=F.col("id") > 2, **kw)).items]
+    assert found() == [3, 4] and found(compat_ignore_filter=True) == [0, 1]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vecspark.sources.store import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        scratch(cluster)
+    cluster.conf.get = lambda *_: "hdfs:///shared/"
+    assert scratch(cluster) == "hdfs:///shared"
+
+
+@pytest.mark.parametrize("index", list(IndexType))
+def test_tour(spark, index):
+    from vecspark.plans.tour import tour
+
+    said = []
+    assert tour(spark, index, said.append, n=60, dim=4).size() == 60 and len(said) > 14
+
+
+def test_comparison_of_indexes(spark):
+    from vecspark.plans.tour import compare
+
+    got = {r["index"]: r for r in compare(spark, formats.uniform_vectors(spark, 900, 8).select("id", "vector").cache()).collect()}
+    assert got["FLAT"].recall == got["FLAT"].rank_match == 1.0
+    assert all(got[i].recall >= 0.9 and got[i].search_s > 0 for i in ("HNSW", "IVF"))
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    from vecspark.streaming.ingest import event_rates, event_sessions
+
+    at = lambda h, m: f"timestamp'2024-01-01 {h:02}:{m:02}:00'"
+    # 10:45 comes when 12:00 is over; a batch's late rows are those behind the watermark of the batch before it.
+    batches = [[(10, 5), (10, 30)], [(14, 0)], [(14, 5)], [(10, 45), (13, 30)], [(18, 0)], [(23, 0)], [(23, 30)]]
+    for k, rows in enumerate(batches):
+        spark.sql(" UNION ALL ".join(f"SELECT {at(*t)} AS ts, 'a' AS event_type, 1.0D AS value, 7 AS user_id" for t in rows)).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    schema = "ts timestamp, event_type string, value double, user_id int"
+    for name, run in (("rates", lambda s: event_rates(s, "1 hour", "2 hours")), ("sessions", lambda s: event_sessions(s, "40 minutes", "2 hours"))):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        run(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-ck").trigger(availableNow=True).start().awaitTermination(180)
+    rates = {r.window_start.hour: r.n for r in spark.read.parquet(f"{tmp_path}/rates").collect()}
+    assert rates[10] == 2 and rates[13] == 1 and rates[14] == 2
+    sessions = {r.session_start.hour: (r.session_start.minute, r.n) for r in spark.read.parquet(f"{tmp_path}/sessions").collect()}
+    assert sessions[10] == (5, 2) and sessions[13] == (30, 3)

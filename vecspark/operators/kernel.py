@@ -43,29 +43,54 @@ def table(q: np.ndarray, x: np.ndarray, metric: int) -> np.ndarray:
 class TopK:
     """The k nearest rows of each query over a stream of blocks; ties go to the smaller id."""
 
+    #: Rows beyond k whose exact distances are looked at, in case rounding has put them there.
+    SPARE = 8
+
     def __init__(self, queries: np.ndarray, k: int, metric: int):
         self.q, self.k, self.metric = np.asarray(queries, float), k, metric
-        self.ids = [np.empty(0, np.int64)] * len(queries)
-        self.dist = [np.empty(0)] * len(queries)
+        # Nearest first; NaN, which sorts last, where there are fewer.
+        self.ids = np.empty((len(self.q), 0), np.int64)
+        self.dist = np.empty((len(self.q), 0))
+        self.count = np.zeros(len(self.q), np.int64)
 
     def add(self, ids: np.ndarray, x: np.ndarray, only: np.ndarray | None = None) -> None:
         """Rows for all queries, or for those numbered in ``only``."""
         rows = np.arange(len(self.q)) if only is None else only
         if not len(rows) or not len(ids) or not self.k:
             return
-        for s in range(0, len(rows), 512):  # bounded tables
-            part = rows[s : s + 512]
-            rough = table(self.q[part], x, self.metric)
-            slack = 1e-9 * (1 + np.abs(rough).max())
-            for i, r in zip(part, rough, strict=True):
-                # More than k only where the k-th is tied within rounding.
-                near = np.nonzero(r <= np.partition(r, self.k - 1)[self.k - 1] + slack)[0] if len(r) > self.k else np.arange(len(r))
-                d = np.concatenate([self.dist[i], exact(self.q[i], x[near], self.metric)])
-                all_ids = np.concatenate([self.ids[i], ids[near]])
-                best = np.lexsort((all_ids, d))[: self.k]
-                self.dist[i], self.ids[i] = d[best], all_ids[best]
+        for s in range(0, len(ids), 1 << 15):  # bounded tables
+            own, part_x = np.asarray(ids[s : s + (1 << 15)], np.int64), x[s : s + (1 << 15)]
+            for t in range(0, len(rows), 512):
+                self._merge(rows[t : t + 512], own, part_x)
+
+    def _merge(self, part: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        rough = table(self.q[part], x, self.metric)
+        n, width = len(ids), min(len(ids), self.k + self.SPARE)
+        near = np.argpartition(rough, width - 1, axis=1)[:, :width] if width < n else np.broadcast_to(np.arange(n), rough.shape)
+        if width < n:
+            least = np.take_along_axis(rough, near, axis=1)
+            kth = np.partition(least, self.k - 1, axis=1)[:, self.k - 1]
+            # Where more rows than the spare ones are tied with the k-th within rounding, all count.
+            close = np.nonzero(~(least.max(axis=1) > kth + 1e-9 * (1 + np.abs(rough).max())))[0]
+            if len(close):
+                self._place(part[close], np.broadcast_to(ids, (len(close), n)), exact(self.q[part[close]][:, None], x[None], self.metric))
+                keep = np.setdiff1d(np.arange(len(part)), close)
+                part, near = part[keep], near[keep]
+        self._place(part, ids[near], exact(self.q[part][:, None], x[near], self.metric))
+
+    def _place(self, part: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        have = self.dist.shape[1]
+        ids, dist = np.concatenate([self.ids[part], ids], axis=1), np.concatenate([self.dist[part], dist], axis=1)
+        order = np.lexsort((ids, dist), axis=1)[:, : self.k]
+        if order.shape[1] > have:
+            more = ((0, 0), (0, order.shape[1] - have))
+            self.ids = np.pad(self.ids, more, constant_values=np.iinfo(np.int64).max)
+            self.dist = np.pad(self.dist, more, constant_values=np.nan)
+        self.ids[part], self.dist[part] = np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
+        self.count[part] = np.minimum(self.count[part] + (dist.shape[1] - have), self.k)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query numbers, ids and distances."""
-        n = [len(x) for x in self.ids]
-        return np.repeat(np.arange(len(n)), n), np.concatenate(self.ids) if n else np.empty(0, np.int64), np.concatenate(self.dist) if n else np.empty(0)
+        there = np.arange(self.dist.shape[1]) < self.count[:, None]
+        who, place = np.nonzero(there)
+        return who, self.ids[who, place], self.dist[who, place]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions import distance as dist
+from vecspark.functions import sql as sql_functions
 from vecspark.model import (
     DISTANCE_METRIC_STRINGS,
     ERROR_STRINGS,
@@ -29,7 +30,7 @@ from vecspark.operators import evaluate, hnsw, ivf, kmeans, knn, writes
 from vecspark.plans.collection import Collection
 from vecspark.sources.formats import uniform_vectors
 from vecspark.sources.store import scratch
-from vecspark.streaming.ingest import event_rates
+from vecspark.streaming.ingest import event_rates, event_sessions
 
 DIM = 64
 #: Per cent of trained lists that a search probes.
@@ -752,6 +753,31 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total
+FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2""")
+def event_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = event_rates(spark.read.parquet(f"{sf_dir}/events.parquet"), "2 hours", slide="1 hour")
+    return rates.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events),
+g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM b)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""")
+def event_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "6 hours")
+    return found.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""{S} SELECT e.id, round({sql_distance("e.v", "q.v", L2)}, 6) AS l2, round({sql_distance("e.v", "q.v", COSINE)}, 6) AS cosine,
+round({sql_distance("e.v", "q.v", DOT)}, 6) AS neg_dot, round({sql_l2sq("e.v", "q.v")}, 6) AS l2_squared FROM e, (SELECT v FROM e WHERE id = 0) q""")
+def distances_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_functions.register(spark)
+    name = f"records_{uuid.uuid4().hex}"
+    sql_functions.as_view(scaled(vectors(spark, sf_dir)), name)
+    columns = ", ".join(f"round(vec_{d}(e.vector, q.vector), 6) AS {d}" for d in ("l2", "cosine", "neg_dot", "l2_squared"))
+    return spark.sql(f"SELECT e.id, {columns} FROM {name} e, (SELECT vector FROM {name} WHERE id = 0) q")
+
+
 @query("SELECT vec_id AS id, 1::BIGINT AS centroids FROM embeddings")
 def single_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first vector is the only centroid; the others come after it, some one by one."""

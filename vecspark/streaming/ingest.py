@@ -32,8 +32,16 @@ def search_stream(queries: DataFrame, vectors: DataFrame, k: int, metric: int, p
     return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_rates(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums of events (ts, event_type, value) by window; works on streams and tables."""
+def event_rates(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Counts and sums of events (ts, event_type, value) by window, tumbling or sliding; works on
+    streams and tables. In a stream, events that come more than ``late`` behind are left out."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = rows.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours", key: str = "user_id") -> DataFrame:
+    """Sessions of events (ts, value) per key: a session ends where none follows within the gap."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    out = rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n", "total")
