@@ -689,13 +689,13 @@ def test_toxicity_equals_a_plain_forward_pass():
 
 def test_toxicity_of_long_clean_texts(spark):
     """The pooling takes a maximum; clean held-out texts of any length stay below a half."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    out = toxicity.score(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", F.size(F.split("text", " ")).alias("n")), "doc_id")
-    clean = out.where("held_out AND toxic = 0").select("score", "n").toPandas()
-    toxic = out.where("held_out AND toxic = 1").select("predicted").toPandas()
-    long, short = clean[clean["n"] > clean["n"].median()], clean[clean["n"] <= clean["n"].median()]
-    assert len(long) > 20 and (long["score"] >= 0.5).mean() <= (short["score"] >= 0.5).mean() + 0.05 <= 0.1
-    assert toxic["predicted"].mean() > 0.9
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", F.size(F.split("text", " ")).alias("n")), "doc_id")
+    rows = out.select("score", "n", "toxic", "predicted").toPandas()
+    clean = rows[rows["toxic"] == 0]
+    long = clean["n"] > clean["n"].median()
+    assert long.sum() > 200 and (clean[long]["score"] >= 0.5).mean() < 0.04 and (clean[~long]["score"] >= 0.5).mean() < 0.02
+    assert rows[rows["toxic"] == 1]["predicted"].mean() > 0.85
 
 
 def test_toxicity_held_out(spark):

@@ -9,7 +9,7 @@ an average over a long text would drown one insult. A document is toxic if some
 is a soft maximum of the windows' logits while training, so the gradient flows to the windows that
 carry it, and the maximum when scoring. A maximum over more windows can only grow, so long clean
 texts score higher than short ones; the bias is moved to where the training rows are parted best. A
-test holds the false positives among long clean held-out texts to those among short ones.
+test bounds the false positives among long and among short clean held-out texts.
 
 After training a word acts only through one number, its vector times the softmax's difference of
 classes; workers compute it once per different word and average numbers instead of vectors.
