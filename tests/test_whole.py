@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from vecspark.plans import queries as core
 
 
-@pytest.mark.parametrize("name, column", [("hnsw_layer0_candidates_all", "src"), ("hnsw_edges_symmetric_all", "dst"), ("batch_insert_all", "id"), ("upsert_all", "id")])
+@pytest.mark.parametrize("name, column", [("hnsw_layer0_candidates", "src"), ("hnsw_edges_symmetric", "dst"), ("batch_insert_ok", "id"), ("upsert", "id"), ("ivf_assign", "id"), ("single_inserts", "id")])
 def test_every_row_is_reached(spark, sf_dir, name, column):
     rows = core.vectors(spark, sf_dir)
     assert core.QUERIES[name](spark, sf_dir).select(column).distinct().count() == rows.count()
 
 
-@pytest.mark.parametrize("name", ["knn_batch_all", "ivf_search_trained", "hnsw_search"])
+@pytest.mark.parametrize("name", ["knn_batch", "knn_batch_cosine", "ivf_search_np1", "ivf_search_trained", "hnsw_search", "ivf_parts"])
 def test_queries_grow_with_the_table(spark, sf_dir, name):
     want = {r.id for r in core.vectors(spark, sf_dir).where("id % 100 = 0").collect()}
     assert {r.query_id for r in core.QUERIES[name](spark, sf_dir).select("query_id").collect()} == want
