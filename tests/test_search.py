@@ -99,6 +99,23 @@ def test_kmeans_finds_blobs_whatever_the_partitions(spark):
     assert len(kmeans.KMeans(9, 2).fit(df.limit(4)).centroids) == 4
 
 
+def test_kmeans_of_a_cluster_per_row_brings_no_rows_to_the_driver(spark, monkeypatch):
+    rows = [(i, np.array([float(i % 50), 1.0])) for i in range(60)]  # ten occur twice
+    model = kmeans.KMeans(100, 2, L2, kmeans.KMeansParams(max_iterations=1))
+    monkeypatch.setattr(kmeans, "seed_centroids", None)  # no sample either
+    monkeypatch.setattr(kmeans, "MODEL_BYTES", 100)
+    assert not model.is_fitted
+    found = model.fit(frame(spark, rows)).centroid_table()
+    assert sorted(r.vector for r in found.collect()) == sorted(x.tolist() for _, x in rows)
+    with pytest.raises(ValueError):
+        model.centroids  # noqa: B018
+    monkeypatch.setattr(kmeans, "MODEL_BYTES", 1 << 20)
+    assert model.is_fitted and np.allclose(model.centroids, [x for _, x in rows])
+    monkeypatch.undo()
+    few = kmeans.KMeans(3, 2).fit(frame(spark, rows))
+    assert np.allclose([r.vector for r in few.centroid_table().collect()], few.centroids)
+
+
 def test_kmeans_misuse(spark):
     with pytest.raises(ValueError):
         kmeans.KMeans(0, 2)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +148,7 @@ class KMeans:
             raise ValueError("k and dimension must be positive")
         self._k, self._dim, self.metric, self.params = k, dimension, metric, params or KMeansParams()
         self._centroids: np.ndarray | None = None
+        self._rows: DataFrame | None = None
 
     def fit(self, vectors: DataFrame) -> KMeans:
         p, train = self.params, DistanceMetric.L2 if self.metric == DistanceMetric.DOT_PRODUCT else self.metric
@@ -157,6 +158,10 @@ class KMeans:
         if facts.bad:
             raise ValueError("vectors of another dimension")
         k = min(self._k, facts.n)
+        self._rows = self._centroids = None
+        if k == facts.n:  # each row is its own centroid, from which no iteration moves it
+            self._rows = vectors.select("id", "vector")
+            return self
         share = min(1.0, 1.2 * max(p.seed_rows, 4 * k) / facts.n)
         rows = vectors.select("id", "vector").where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
         rows = rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(2 * max(p.seed_rows, 4 * k))
@@ -182,13 +187,25 @@ class KMeans:
 
     @property
     def centroids(self) -> np.ndarray:
+        """As a matrix, which is one thing in memory; :meth:`centroid_table` is not."""
         if self._centroids is None:
-            raise RuntimeError("not fitted")
+            if self._rows is None:
+                raise RuntimeError("not fitted")
+            if self._rows.count() * self._dim * 8 > MODEL_BYTES:
+                raise ValueError("too many centroids for a matrix; use centroid_table")
+            self._centroids = np.array([r.vector for r in self._rows.orderBy("id").collect()], float)
         return self._centroids
 
+    def centroid_table(self) -> DataFrame:
+        """A row (vector) per centroid. Where there is one per row trained on, these are the rows,
+        wherever they lie."""
+        if self._rows is not None:
+            return self._rows.select(F.col("vector").cast("array<double>").alias("vector"))
+        return SparkSession.active().createDataFrame([(c.tolist(),) for c in self.centroids], "vector array<double>")
+
     @property
     def is_fitted(self) -> bool:
-        return self._centroids is not None
+        return self._centroids is not None or self._rows is not None
 
     @property
     def k(self) -> int:

@@ -375,7 +375,7 @@ def kmeans_k_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More clusters than rows are held to the rows."""
     rows = vectors(spark, sf_dir)
     model = kmeans.KMeans(rows.count() + 50, DIM, L2, kmeans.KMeansParams(max_iterations=1)).fit(rows)
-    return spark.createDataFrame([(len(model.centroids),)], "k long")
+    return model.centroid_table().agg(F.count("*").alias("k"))
 
 
 @query()
