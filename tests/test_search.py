@@ -234,3 +234,34 @@ def test_single_query_is_a_limit_over_pushed_filters(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     plan = knn.knn(rows, [0.0] * 64, 5, L2, F.col("id") > 10, 64)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "GreaterThan(vec_id,10)" in plan and "label" not in plan.split("ReadSchema")[1]
+
+
+def test_a_beam_as_wide_as_the_graph_goes_through_it_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(0, 1, (120, 4)).astype(np.float32), rng.normal(0, 1, (30, 4)).astype(np.float32)
+    layers = np.zeros(120, int)
+    layers[:3] = 1
+    links = np.array([(1, a, b) for a in range(3) for b in range(3) if a != b] + [(0, i, j) for i in range(3, 120) for j in (max(3, i - 1), min(119, i + 1)) if i != j] + [(0, 0, 1), (0, 1, 0), (0, 2, 60)], np.int32)
+    cut = hnsw.Graph(np.arange(120) + 7, x, layers, links, L2)  # from 0 and 1 most can't be reached
+    whole = hnsw.Graph(np.arange(120) + 7, x, layers, hnsw._edges(hnsw.build_graph(x, layers, L2, hnsw.HNSWParams(m=4, ef_construction=16))), L2)
+    for graph in (cut, whole):
+        who, rows, d = graph.search(q, 120)
+        want = [sorted(zip(d[who == i], graph.ids[rows[who == i]], strict=True))[:9] for i in range(len(q))]
+        top = hnsw.TopK(q, 9, L2)
+        graph.add_all(top, np.arange(len(q)))
+        n, ids, dist = top.rows()
+        got = [list(zip(dist[n == i], ids[n == i], strict=True)) for i in range(len(q))]
+        assert [[i for _, i in w] for w in want] == [[i for _, i in g] for g in got]
+        assert np.allclose([x for w in want for x, _ in w], [x for g in got for x, _ in g])
+    assert len({len(w) for w in want}) == 1
+
+    df = frame(spark, [(i, v) for i, v in enumerate(x)])
+    asked = frame(spark, [(i, v) for i, v in enumerate(q)]).withColumnRenamed("id", "query_id")
+    shards = hnsw.build_shards(df, L2, hnsw.HNSWParams(m=4, ef_construction=16), shard_rows=50)
+    handed, plain = [], hnsw.top_k
+    monkeypatch.setattr(hnsw, "top_k", lambda rows, k: handed.append(rows.count()) or plain(rows, k))
+    for ef in (120, 20):
+        found = {(r.query_id, r["rank"]): r.id for r in hnsw.search_shards(shards, asked, 4, ef, L2).collect()}
+        assert handed.pop() <= len(q) * 4 * shards.count()  # not ef rows of each shard
+        if ef == 120:
+            assert found == {(r.query_id, r["rank"]): r.id for r in knn.knn_batch(df, asked, 4, L2).collect()}

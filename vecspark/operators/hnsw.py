@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.model import DistanceMetric, HNSWParams
-from vecspark.operators.kernel import exact, table
+from vecspark.operators.kernel import TopK, exact, table
 from vecspark.operators.knn import RESULT, query_blocks, top_k
 
 SHARD_ROWS = 4_000
@@ -267,15 +267,42 @@ class Graph:
         size = max(1, VISITED // (len(self.ids) + 1))
         for s in range(0, len(q), size):
             part = q[s : s + size]
-            at = np.full(len(part), self.entry)
-            for layer in range(int(self.layers[self.entry]), 0, -1):
-                at = self._walk(part, at, 1, layer)[0][:, 0]
-            out.append(self._walk(part, at, ef, 0)[0])
+            out.append(self._walk(part, self._starts(part), ef, 0)[0])
         rows = np.concatenate(out)
         who, place = np.nonzero(rows < len(self.ids))
         found = rows[who, place].astype(np.int64)
         return who, found, exact(q[who], self.x[found], self.metric)
 
+    def _starts(self, q: np.ndarray) -> np.ndarray:
+        """Where each query's walk of layer 0 starts, down from the entry."""
+        at = np.full(len(q), self.entry)
+        for layer in range(int(self.layers[self.entry]), 0, -1):
+            at = self._walk(q, at, 1, layer)[0][:, 0]
+        return at
+
+    def _reached(self, start: int, back: bool = False) -> np.ndarray:
+        """Which nodes layer 0 leads to from a node, or which it leads from to it."""
+        own = self.edges[self.edges[:, 0] == 0]
+        a, b = (own[:, 2], own[:, 1]) if back else (own[:, 1], own[:, 2])
+        seen = np.zeros(len(self.ids), bool)
+        seen[start] = True
+        while len(new := b[seen[a] & ~seen[b]]):
+            seen[new] = True
+        return seen
+
+    def add_all(self, top: TopK, mine: np.ndarray) -> None:
+        """Hands ``top`` what walks with a beam as wide as the graph find for its queries numbered in
+        ``mine``. Such a beam turns no node away, so a walk finds what can be reached from where it
+        starts, in whatever order, and that is gone through once and not for each query."""
+        if self._reached(self.entry).all() and self._reached(self.entry, back=True).all():
+            top.add(self.ids, self.x, mine)  # wherever it starts
+            return
+        size = max(1, VISITED // (len(self.ids) + 1))
+        starts = np.concatenate([self._starts(np.asarray(top.q[mine[s : s + size]], np.float32)) for s in range(0, len(mine), size)])
+        for start in np.unique(starts).tolist():
+            there = self._reached(start)
+            top.add(self.ids[there], self.x[there], mine[starts == start])
+
     # Rows that come and go ---------------------------------------------------------------------
 
     def _between(self, x: np.ndarray):
@@ -487,29 +514,43 @@ def build(vectors: DataFrame, metric: int, params: HNSWParams | None = None, sha
 
 def search_shards(shards: DataFrame, queries: DataFrame, k: int, ef_search: int, metric: int, predicate: Column | None = None, params: HNSWParams | None = None) -> DataFrame:
     """(query_id, id, distance, rank); the predicate holds for what the walks found, so fewer than
-    k can come back. An ef_search of 0 stands for the index's own."""
+    k can come back. An ef_search of 0 stands for the index's own. Without a predicate a shard hands
+    on k rows per query, and all shards of a task together those whose beam is as wide as they are."""
     spark, ef = shards.sparkSession, max(ef_search or (params or HNSWParams()).ef_search, k)
-    n, tasks, found = max(1, shards.count()), spark.sparkContext.defaultParallelism, []
+    n, tasks, found, plain = max(1, shards.count()), spark.sparkContext.defaultParallelism, [], predicate is None
     for ids, q in query_blocks(queries):
         block = spark.sparkContext.broadcast((ids, q))
         parts = max(1, min(tasks // n, len(ids) // 64))
 
         def run(batches: Iterator[pa.RecordBatch], block=block, parts=parts) -> Iterator[pa.RecordBatch]:
             ids, q = block.value
+            names, top = ["query_id", "id", "distance"], TopK(q, k, metric)
             for b in batches:
                 for r in _rows(b):
-                    graph, mine = Graph.of(r, metric), slice(r["part"], None, parts)
+                    graph, mine = Graph.of(r, metric), np.arange(r["part"], len(q), parts)
                     if not len(graph.ids) or q.shape[1] != graph.x.shape[1]:
                         continue
+                    if plain and ef >= len(graph.ids):
+                        graph.add_all(top, mine)
+                        continue
                     who, rows, d = graph.search(q[mine], ef)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine][who]), pa.array(graph.ids[rows]), pa.array(d)], names=["query_id", "id", "distance"])
+                    near = graph.ids[rows]
+                    if plain:
+                        order = np.lexsort((near, d, who))
+                        who, near, d = who[order], near[order], d[order]
+                        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+                        who, near, d = who[first], near[first], d[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine][who]), pa.array(near), pa.array(d)], names=names)
+            who, near, d = top.rows()
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(near, pa.int64()), pa.array(d, pa.float64())], names=names)
 
         rows = shards.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         found.append((rows.repartition(parts * n, "shard", "part") if parts > 1 else rows).mapInArrow(run, RESULT))
     if not found or k <= 0:
         return spark.createDataFrame([], RESULT + ", rank long")
     walks = reduce(DataFrame.unionByName, found)
-    if predicate is None:
+    if plain:
         return top_k(walks, k)
     return top_k(top_k(walks, ef).drop("rank").where(predicate), k)
 
