@@ -341,6 +341,22 @@ def test_lines_equal_all_pairs(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 100, (len(got), len(want))
 
 
+def test_much_alike_lines_are_connected_without_all_their_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
+    base, rows = [word() for _ in range(40)], []
+    for _ in range(260):  # about half of the pairs are similar
+        own = list(base)
+        for at in rng.sample(range(len(base)), 5):
+            own[at] = word()
+        rows.append(" ".join(own))
+    looked_at, plain = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda edges, *a: looked_at.append(edges.count()) or plain(edges, *a))
+    gone = lambda params: (looked_at.clear(), {r.doc_id for r in line_dedup.drops(frame(spark, list(enumerate(rows))), params=params).collect()})[1]
+    found = gone(line_dedup.WHOLE)
+    assert len(found) >= 250 and sum(looked_at) < 5_000, looked_at  # of 33,670
+
+
 def test_edit_bound_is_never_below_the_distance(spark):
     rng = random.Random(41)
     rows = []
