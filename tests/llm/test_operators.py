@@ -370,6 +370,19 @@ def test_edit_bound_is_never_below_the_distance(spark):
     assert all(r.w >= r.d for r in bound) and bound[-1].w == 0 and np.mean([r.w == r.d for r in bound]) > 0.3
 
 
+def test_line_dedup_carries_words_in_two_bytes(spark):
+    long = ["x" * 40 + str(k) for k in range(6)]
+    texts = [["alpha", "beta", "gamma", "delta"], ["alpha", "beta", "gamma", "other"], long, [*long[:5], "y"], ["z" * 300, "short"], ["z" * 300, "words", "here"], ["none", "of", "it"]]
+    p = line_dedup.Params()
+    rows = line_dedup._words(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "h long, norm string"), p)
+    assert rows.schema["words"].dataType.elementType.typeName() == "short"  # four bytes before
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.h") < F.col("y.h"))
+    passed = {(r.a, r.b) for r in pairs.where(line_dedup._shared(p)).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).collect()}
+    size = lambda words: sum(map(len, words))
+    true = {(a, b) for b in range(len(texts)) for a in range(b) if 2 * size(set(texts[a]) & set(texts[b])) >= p.overlap * (size(texts[a]) + size(texts[b]))}
+    assert {(0, 1), (2, 3), (4, 5)} <= true <= passed and (0, 6) not in passed
+
+
 def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
     import corpus_pipeline
     from vecspark.llm import queries
